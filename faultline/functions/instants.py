@@ -177,4 +177,5 @@ def add_utc_micros(
     never = {"shift": t("before"), "null": none}[nonexistent]
     zoneless = F.when(t("before_fits") & t("after_fits"), F.when(t("before") == t("after"), t("before")).otherwise(twice)).when(t("before_fits"), t("before")).when(t("after_fits"), t("after")).when(t("bare").isNotNull(), never)
     result = F.when(t("numeric"), _epoch_micros(t("number"))).when(t("zone") == "", zoneless).otherwise(t("local") - t("offset") * 1_000_000)
-    return df.select(*[F.col(f"`{c}`") for c in rows.columns], result.alias(out))
+    # A generator of one row: a filter on the result cannot be pushed through it, which would copy the whole cascade into the filter.
+    return df.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode(F.array(result)).alias(out))
