@@ -33,7 +33,8 @@ def merge_intervals(rows: DataFrame, entity: str, start: str, end: str, bucket_m
 
     # What earlier buckets of the entity reach, one row per bucket.
     over_buckets = Window.partitionBy("k").orderBy("b")
-    reach = merged.groupBy("k", "b").agg(F.max("e").alias("top")).select("k", "b", F.max("top").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    # The condition keeps the start in this branch, so that both read one exchange of the merged stretches.
+    reach = merged.groupBy("k", "b").agg(F.max(F.when(F.col("s").isNotNull(), F.col("e"))).alias("top")).select("k", "b", F.max("top").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     in_bucket = Window.partitionBy("k", "b").orderBy("s", "e")
     stretches = merged.join(reach, ["k", "b"])
     opens = F.col("s") > F.coalesce(F.greatest(F.col("carried"), F.max("e").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1))), F.lit(-(2**63)))

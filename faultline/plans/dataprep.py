@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.instants import add_utc_micros
 from faultline.operators.intervals import merge_intervals
+from faultline.operators.logparse import parse_entries
 from faultline.operators.orphans import orphan_references
 from faultline.operators.timenorm import normalise_times, with_zones
 from faultline.sources.tables import table
@@ -69,4 +70,17 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return _orphans(spark, folder).groupBy("table_name", "period", "kind").agg(F.count("*").alias("n_references"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p4_found, p4_report)}
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_entries(table(spark, folder, "parsed_logs"), "log_id", {"key_lines": "lines", "error_message": "text"}, "exported_at")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _entries(spark, folder).select("log_id", "field_name", "start_pos", "n_lines", "utc_seconds", "severity", "component")
+
+
+def p5_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries per component and severity."""
+    return _entries(spark, folder).groupBy("component", "severity").agg(F.count("*").alias("n_entries"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p4_found, p4_report, p5_found, p5_components)}
