@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.ids import whole_number_long
 from faultline.functions.instants import add_utc_micros
+from faultline.llm.mojibake import restored_texts
 from faultline.llm.runs import canonical_word, collapse_runs
 from faultline.operators.timenorm import with_zones
 from faultline.sources.tables import table
@@ -50,5 +51,15 @@ def p3_durations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_durations)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = restored_texts(table(spark, folder, "documents"))
+    return found.select("doc_id", F.coalesce(F.md5(F.col("restored_text").cast("binary")), F.lit("")).alias("restored_md5"))
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The restored texts themselves; NULL where characters were destroyed."""
+    return restored_texts(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_durations, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
