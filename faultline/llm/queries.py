@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.ids import whole_number_long
 from faultline.functions.instants import add_utc_micros
+from faultline.llm.leakage import leaked_items
 from faultline.llm.mojibake import restored_texts
 from faultline.llm.runs import canonical_word, collapse_runs
 from faultline.operators.timenorm import with_zones
@@ -51,6 +52,16 @@ def p3_durations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_by_suite(spark: SparkSession, folder: str) -> DataFrame:
+    """Per suite: items that leaked, and documents that hold one of them."""
+    suites = table(spark, folder, "eval_items").select("item_id", "suite")
+    return p7_found(spark, folder).join(suites, "item_id").groupBy("suite").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     found = restored_texts(table(spark, folder, "documents"))
     return found.select("doc_id", F.coalesce(F.md5(F.col("restored_text").cast("binary")), F.lit("")).alias("restored_md5"))
@@ -61,5 +72,5 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restored_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_durations, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_durations, p7_found, p7_by_suite, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
