@@ -9,6 +9,7 @@ from faultline.functions.ids import whole_number_long
 from faultline.functions.instants import add_utc_micros
 from faultline.llm.leakage import leaked_items
 from faultline.llm.mojibake import restored_texts
+from faultline.llm.packing import CAPACITY, pack_documents
 from faultline.llm.runs import canonical_word, collapse_runs
 from faultline.operators.timenorm import with_zones
 from faultline.sources.tables import table
@@ -52,6 +53,16 @@ def p3_durations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used, the fewest that could do, tokens, and the share of room unused."""
+    packed = p6_packed(spark, folder).agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return packed.select("n_containers", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"), "n_tokens", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 6).alias("unused_share"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -72,5 +83,5 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restored_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_durations, p7_found, p7_by_suite, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_durations, p6_packed, p6_fill, p7_found, p7_by_suite, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
