@@ -128,12 +128,12 @@ def wasted_hours(spark, folder):
     return _runs(spark, folder).where(F.col("status").isin("FAILED", "ERROR")).agg(F.round(F.coalesce(F.sum("duration"), F.lit(0.0)) / 60, 1).alias("hours"))
 
 
-@query("""SELECT step, count(*) AS n, round(coalesce(sum(duration), 0), 2) AS minutes, round(coalesce(sum(duration), 0) / 60, 1) AS hours, round(avg(duration), 2) AS mean_minutes
+@query("""SELECT step, count(*) AS n, round(coalesce(sum(duration), 0), 2) AS minutes, round(coalesce(sum(duration), 0) / 60, 1) AS hours, round(avg(duration), 4) AS mean_minutes
 FROM failed WHERE status IN ('FAILED', 'ERROR') GROUP BY step""")
 def impact_per_step(spark, folder):
     total = F.coalesce(F.sum("duration"), F.lit(0.0))
     grouped = _failed(spark, folder).where(F.col("status").isin("FAILED", "ERROR")).groupBy("step")
-    return grouped.agg(F.count("*").alias("n"), F.round(total, 2).alias("minutes"), F.round(total / 60, 1).alias("hours"), F.round(F.avg("duration"), 2).alias("mean_minutes"))
+    return grouped.agg(F.count("*").alias("n"), F.round(total, 2).alias("minutes"), F.round(total / 60, 1).alias("hours"), F.round(F.avg("duration"), 4).alias("mean_minutes"))
 
 
 @query("SELECT CAST(exported_at AS DATE) AS day, status, count(*) AS n FROM runs GROUP BY ALL")
@@ -144,7 +144,7 @@ def daily_trend(spark, folder):
 @query("""SELECT strftime(exported_at, '%Y-%m') AS month, count(*) FILTER (status = 'FINISHED') AS finished, count(*) FILTER (status = 'FAILED') AS failed,
 count(*) FILTER (status = 'ERROR') AS error, count(*) FILTER (status = 'CANCELLED') AS cancelled FROM runs GROUP BY 1""")
 def monthly_pivot(spark, folder):
-    pivot = _runs(spark, folder).groupBy(F.date_format("exported_at", "yyyy-MM").alias("month")).pivot("status", ["FINISHED", "FAILED", "ERROR", "CANCELLED"]).agg(F.count("*"))
+    pivot = _runs(spark, folder).groupBy(F.date_format("exported_at", "yyyy-MM").alias("month")).pivot("status", ["FINISHED", "FAILED", "ERROR", "CANCELLED"]).agg(F.count(F.lit(1)))
     months = _runs(spark, folder).select(F.date_format("exported_at", "yyyy-MM").alias("month")).distinct()
     return months.join(pivot, "month", "left").select("month", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("FINISHED", "FAILED", "ERROR", "CANCELLED")])
 
@@ -161,8 +161,8 @@ def step_scale(spark, folder):
     return counts.withColumn("largest", F.max("n").over(Window.partitionBy()))
 
 
-@query("""SELECT pipeline_id, step, n FROM (SELECT pipeline_id, step, count(*) AS n, row_number() OVER (PARTITION BY pipeline_id ORDER BY count(*) DESC, step) AS r
-FROM failed WHERE step IS NOT NULL AND pipeline_id IS NOT NULL GROUP BY ALL) WHERE r = 1""")
+@query("""SELECT pipeline_id, step, n FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY n DESC, step) AS r FROM (
+SELECT pipeline_id, step, count(*) AS n FROM failed WHERE step IS NOT NULL AND pipeline_id IS NOT NULL GROUP BY pipeline_id, step)) WHERE r = 1""")
 def dominant_step(spark, folder):
     counts = _failed(spark, folder).where("step is not null and pipeline_id is not null").groupBy("pipeline_id", "step").agg(F.count("*").alias("n"))
     return ops.top_per_group(counts, "pipeline_id", [F.desc("n"), F.col("step")], 1).select("pipeline_id", "step", "n")

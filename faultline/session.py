@@ -25,6 +25,7 @@ def build_session(app: str = "faultline", cores: int | str = "*", shuffle_partit
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FAULTLINE_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
