@@ -85,6 +85,13 @@ def zone_lookup(entities: DataFrame, key: str, zone: str) -> tuple[DataFrame, di
     return keyed.join(F.broadcast(table), "zone_name", "left").withColumn("zone_name", F.when(F.col("abbreviations").isNotNull(), F.col("zone_name"))), unique
 
 
+def clock_micros(rows: DataFrame, column: str) -> Column:
+    """UTC micros of a clean timestamp column.  One without zone counts as UTC, whatever the session's zone."""
+    if dict(rows.dtypes)[column] == "timestamp_ntz":
+        return F.unix_micros(F.concat(F.col(column).cast("string"), F.lit("Z")).try_cast("timestamp"))
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def _epoch_number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("decimal(38,15)")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.ids import whole_number
+from faultline.functions.instants import clock_micros
 
 #: Keys of one range share all but their last digits; a range holds this many codes.
 RANGE_DIGITS = 4
@@ -94,10 +95,9 @@ def orphan_references(references: DataFrame, parents: DataFrame, period_format:
     """
     far = F.lit(2**62).cast("bigint")
     day = lambda c: F.coalesce(F.floor(c / F.lit(86_400_000_000)), F.lit(2**40)).cast("bigint")
-    micros = F.unix_micros(F.col("exported_at").cast("timestamp"))
 
     def coded(rows: DataFrame, *extra: Column) -> DataFrame:
-        keyed = rows.select(*extra, whole_number(F.col("execution_id").cast("string")).alias("key"), micros.alias("us")).where("key is not null")
+        keyed = rows.select(*extra, whole_number(F.col("execution_id").cast("string")).alias("key"), clock_micros(rows, "exported_at").alias("us")).where("key is not null")
         return keyed.withColumns({"span": key_range(F.col("key")), "code": key_code(F.col("key"))}).drop("key")
 
     refs = coded(references, F.col("table_name"), F.col("row_id"), F.date_format("exported_at", period_format).alias("label")).withColumn("period", day(F.col("us")))
