@@ -32,7 +32,7 @@ def module_of_path(path: Column) -> tuple[Column, Column]:
 
 def suffix(path: Column) -> Column:
     """Lower-case file suffix with its dot, '' without one."""
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
 def top_level(path: Column) -> Column:

@@ -63,7 +63,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(path, cache_key, text): whole text files below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.md5(F.col("_metadata.file_path")).alias("cache_key"), F.col("value").alias("text"))
 
 
@@ -74,7 +74,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_repository(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of repository files matching a glob, without what lies under .git, node_modules or target."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return rows.where(~F.col("path").rlike(r"/(?:\.git|node_modules|target)/"))
 
