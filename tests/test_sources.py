@@ -30,7 +30,7 @@ def test_trees_and_logs(spark, tmp_path, rows):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("one\ntwo")
     assert [r["path"].rsplit("/", 1)[1] for r in exports.read_repository(spark, str(tmp_path), "*.py").collect()] == ["a.py"]
-    assert exports.list_files(spark, str(tmp_path)).count() == 4
+    assert exports.list_files(spark, str(tmp_path)).count() == 3  # hidden folders are not listed
     assert {r["text"] for r in exports.read_logs(spark, str(tmp_path / "src")).collect()} == {"one\ntwo"}
 
 
