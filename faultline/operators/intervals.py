@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut_lineage
+
 DAY_MICROS = 86_400_000_000
 
 
@@ -24,17 +26,20 @@ def merge_intervals(rows: DataFrame, entity: str, start: str, end: str, bucket_m
     Session windows drop empty sessions, so time runs at two ticks a
     microsecond: an empty interval gets one tick, which can touch nothing
     that it should not.
+
+    Action: the merged stretches (four numbers each) go to the checkpoint
+    folder, since three branches read them and times may be dear to parse.
     """
     valid = rows.select(F.col(entity).alias("k"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).where("k is not null and s is not null and e >= s")
     ticks = F.greatest((F.col("e") - F.col("s")) * 2, F.lit(1))
     session = F.session_window(F.timestamp_micros(F.col("s") * 2), F.make_interval(secs=(ticks / F.lit(1_000_000)).cast("decimal(18,6)")))
     bucketed = valid.withColumn("b", F.floor(F.col("s") / F.lit(bucket_micros)))
     merged = bucketed.groupBy("k", "b", session).agg(F.min("s").alias("s"), F.max("e").alias("e")).select("k", "b", "s", "e")
+    merged = cut_lineage(merged)
 
     # What earlier buckets of the entity reach, one row per bucket.
     over_buckets = Window.partitionBy("k").orderBy("b")
-    # The condition keeps the start in this branch, so that both read one exchange of the merged stretches.
-    reach = merged.groupBy("k", "b").agg(F.max(F.when(F.col("s").isNotNull(), F.col("e"))).alias("top")).select("k", "b", F.max("top").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    reach = merged.groupBy("k", "b").agg(F.max("e").alias("top")).select("k", "b", F.max("top").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     in_bucket = Window.partitionBy("k", "b").orderBy("s", "e")
     stretches = merged.join(reach, ["k", "b"])
     opens = F.col("s") > F.coalesce(F.greatest(F.col("carried"), F.max("e").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1))), F.lit(-(2**63)))
