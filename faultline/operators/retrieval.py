@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut_lineage
+
 TERM = r"[a-zA-Z0-9_./\-:]+"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query vectors of one pass over the corpus.
@@ -27,19 +29,24 @@ def bm25_topk(documents: DataFrame, doc_id: str, text: str, queries: DataFrame,
     of more than half of all documents weighs ``EPSILON`` times the mean idf;
     repeated query terms count as often.  NULL texts are in no corpus.
 
-    The postings are aggregated before they are joined, the join is by term,
-    and only terms that a query holds survive it (a semi join), so stop words
-    cost what the queries ask of them.
+    Document frequencies, the number of documents and their mean length come
+    from one pass with a partial count before the shuffle (a mark that is no
+    term stands for the document itself); postings are built only for terms
+    that a query holds (a semi join), so the rest of the vocabulary is never
+    shuffled with its documents.  Action: that first pass, kept in the
+    checkpoint folder as one row a term.
     """
-    texts = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t"))
-    lengths = texts.select("doc_id", F.size("t").alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = texts.select("doc_id", F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    texts = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    marked = texts.select("dl", F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+    frequencies = cut_lineage(marked.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.when(F.col("term") == "", F.col("dl"))).alias("avgdl")))
+    totals = frequencies.where("term = ''").select(F.col("df").alias("n_docs"), "avgdl")
+    idf = frequencies.where("term <> ''").select("term", "df").join(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weights = idf.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hits = postings.join(weights, "term").join(lengths, "doc_id")
+    wanted = asked.select("term").distinct()
+    weights = idf.join(wanted, "term", "left_semi").join(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    postings = texts.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    hits = postings.join(weights, "term")
     impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.select("term", "doc_id", impact.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score")).where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
@@ -176,3 +183,47 @@ def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 2)
             yield pd.DataFrame({key: batch[key], "pc": ((x - mean) @ axes).tolist()})
 
     return rows.mapInPandas(project, f"{key} {dict(rows.dtypes)[key]}, pc array<double>")
+
+
+def distinct_incidents(hits: DataFrame, group: str, rank: str, step: str, text: str, most: float = 0.65) -> DataFrame:
+    """Hits without near copies: in rank order, one is dropped if a kept one of its step is too similar in its first 200 characters.
+
+    ``hits`` are short ranked lists (top-k results) per ``group``; each list is
+    one fold over an array, JVM-side.  Similarity is 1 - edit distance / length.
+    """
+    item = F.struct(F.col(rank).alias("r"), F.col(step).alias("s"), F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 200)).alias("t"))
+    listed = hits.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    similar = lambda a, b: (1 - F.levenshtein(a["t"], b["t"]) / F.greatest(F.length(a["t"]), F.length(b["t"]), F.lit(1))) > most
+    same = lambda a, b: a["s"].eqNullSafe(b["s"]) & similar(a, b)
+    empty = F.filter("items", lambda _: F.lit(False))
+    kept = F.aggregate("items", empty, lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    ranks = listed.select(group, F.explode(kept).alias("x")).select(group, F.col("x.r").alias(rank))
+    return hits.join(ranks, [group, rank], "left_semi")
+
+
+def incident_source(execution_id: Column) -> Column:
+    """Where an incident record came from, by the shape of its id."""
+    return F.when(execution_id.rlike(r"^\d+$"), "execution").when(execution_id.rlike(r"^risk-[0-9a-f]+-\w+$"), "prediction").when(execution_id.rlike(r"^report:.+:\d+$"), "report").otherwise("other")
+
+
+def sentences(text: Column, shortest: int = 20, most: int = 10) -> Column:
+    """The first ``most`` sentences of more than ``shortest`` characters."""
+    return F.slice(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(s) > shortest), 1, most)
+
+
+def noise_lines(lines: DataFrame, line: str, templates: DataFrame, template: str, shortest: int = 20) -> DataFrame:
+    """Lines that hold a template of more than ``shortest`` characters or lie inside one, once both are masked.
+
+    ``templates`` is a set of one pipeline's templates.  Lines and templates
+    meet by their rarest shared word, not each with each: a line can hold a
+    template only if it has all its words, and lie inside one only if that has
+    all of its own.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z]+"), F.lit(0)))
+    longest = lambda c: F.element_at(F.array_sort(words(c), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
+    patterns = templates.select(F.col(template).alias("_t")).where(F.length("_t") > shortest).distinct()
+    given = lines.withColumn("_l", F.col(line)).where(F.length("_l") > 0)
+    keyed = given.select("*", F.explode(words(F.col("_l"))).alias("_w"))
+    holds = keyed.join(patterns.select("_t", longest(F.col("_t")).alias("_w")), "_w").where(F.contains("_l", "_t"))
+    inside = given.select("*", longest(F.col("_l")).alias("_w")).join(patterns.select("_t", F.explode(words(F.col("_t"))).alias("_w")), "_w").where(F.contains("_t", "_l") & (F.length("_l") > shortest))
+    return holds.unionByName(inside).drop("_l", "_w", "_t").distinct()
