@@ -115,15 +115,28 @@ def compare_pair(runs: DataFrame, a: int, b: int) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: Sequence[str], tie: str) -> DataFrame:
-    """Each left row with ``columns`` of the newest right row of its key not after it; NULL if there is none.
+    """Each left row with ``columns`` (as ``found_...``) of the newest right row of its key not after it; NULL if there is none.
 
-    Equal right times: the greatest ``tie`` wins.  One shuffle and one pass:
-    both sides are stacked and the last right row is carried forward.  A hot
-    key is one sorted run that spills, never an array.
-    """
-    marked = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*columns).alias("_hit"), F.col(tie).cast("bigint").alias("_tie"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
-    asked = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marked.schema["_hit"].dataType).alias("_hit"), F.lit(0).cast("bigint").alias("_tie"), F.struct("*").alias("_row"))
-    over = Window.partitionBy(key).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = marked.unionByName(asked).withColumn("_found", F.last("_hit", ignorenulls=True).over(over))
-    return carried.where("_side = 1").select("_row.*", *[F.col(f"_found.{c}").alias(f"found_{c}") for c in columns])
+    Equal right times: the greatest ``tie`` wins.  Left rows with a NULL key or
+    time find nothing; right ones are never found.
 
+    Both sides are stacked per key and bucket of time (a day, or 86400 units of
+    a number) and the last right row is carried forward inside the bucket; the
+    last right row of earlier buckets comes from a summary of one row per key
+    and bucket.  So a key with a third of all rows is spread over its buckets.
+    """
+    stamp = "timestamp" in dict(left.dtypes)[left_time]
+    bucket = (lambda c: F.to_date(c)) if stamp else (lambda c: F.floor(c / F.lit(86400)))
+    hit = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.col(tie).cast("bigint").alias("_tie"), F.struct(*columns).alias("_hit")).where("_k is not null and _t is not null").withColumn("_b", bucket(F.col("_t")))
+    kind, row = hit.schema["_hit"].dataType, left.select(F.struct("*").alias("r")).schema["r"].dataType
+    asked = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(None).cast("bigint").alias("_tie"), F.lit(None).cast(kind).alias("_hit"), bucket(F.col(left_time)).alias("_b"), F.lit(1).alias("_side"), F.struct("*").alias("_row"))
+    stacked = hit.withColumns({"_side": F.lit(0), "_row": F.lit(None).cast(row)}).unionByName(asked)
+    last = hit.groupBy("_k", "_b").agg(F.max_by("_hit", F.struct("_t", "_tie")).alias("_last"))
+    # Buckets that only the left side has need a summary row too.
+    marks = asked.select("_k", "_b").distinct().join(last, ["_k", "_b"], "full")
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select("_k", "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = stacked.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside)).where("_side = 1").join(carried, ["_k", "_b"], "left")
+    answer = F.when(F.col("_t").isNotNull(), F.coalesce("_found", "_carried"))
+    return found.withColumn("_answer", answer).select("_row.*", *[F.col(f"_answer.{c}").alias(f"found_{c}") for c in columns])

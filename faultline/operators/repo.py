@@ -40,9 +40,13 @@ def callers(files: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def duplicate_roots(filters: DataFrame) -> DataFrame:
-    """(root, path, pos): second and later filters of each root, by position.  ``filters``: path, pos, root."""
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("pos", "path"))
-    return filters.where("root is not null").withColumn("_r", rank).where("_r > 1").select("root", "path", "pos")
+    """(root, path, pos): second and later filters of each root, by position.  ``filters``: path, pos, root; NULL roots are none.
+
+    The first filter of each root is an aggregate joined back, so a root with a third of all rows is no one task's window.
+    """
+    kept = filters.where("root is not null").select("root", "path", "pos")
+    first = kept.groupBy("root").agg(F.min(F.struct("pos", "path")).alias("_first"))
+    return kept.join(first, "root").where(~F.struct("pos", "path").eqNullSafe(F.col("_first"))).select("root", "path", "pos")
 
 
 def package_findings(files: DataFrame) -> DataFrame:
