@@ -122,7 +122,7 @@ def file_roles(paths: Column) -> Column:
     some = lambda p: F.coalesce(F.exists(paths, lambda x: x.rlike("(?i)" + p)), F.lit(False))
     return F.struct(
         some(r"(^|/)(pom\.xml|package(-lock)?\.json|yarn\.lock)$").alias("dependency"), some(r"\.(conf|cfg|ya?ml|properties|any|vhost)$").alias("config"), some(r"security|auth|acl|permission").alias("security"),
-        some(r"(^|/)(test|tests|it\.tests)/|test\.(java|js|ts)$").alias("test"), some(r"(^|/)(\.github|\.cloudmanager|jenkinsfile|ci)(/|$)").alias("pipeline"),
+        some(r"(^|/)(test|tests|it\.tests)/|test\.(java|js|ts)$").alias("test"), some(r"(^|/)(\.github|jenkinsfile|ci)(/|$)").alias("pipeline"),
     )
 
 
