@@ -83,4 +83,13 @@ def p5_components(spark: SparkSession, folder: str) -> DataFrame:
     return _entries(spark, folder).groupBy("component", "severity").agg(F.count("*").alias("n_entries"))
 
 
+_ID = r"nullif(regexp_extract(execution_id, '^\s*0*([0-9]+?)(?:\.0)?\s*$', 1), '')"
+_P4 = f"""WITH parents AS (SELECT {_ID} AS k, min(exported_at) AS first FROM pipelines_list GROUP BY 1),
+refs AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, {_ID} AS k, exported_at FROM {t}" for t in REFERRING)}),
+orphans AS (SELECT table_name, row_id, CASE WHEN parents.k IS NULL THEN 'missing' ELSE 'late' END AS kind, strftime(exported_at, '%Y-%m') AS period
+FROM refs LEFT JOIN parents ON parents.k = refs.k WHERE refs.k IS NOT NULL AND (parents.k IS NULL OR first > exported_at)) """
+SQL = {
+    "p4_found": _P4 + "SELECT * FROM orphans",
+    "p4_report": _P4 + "SELECT table_name, period, kind, count(*) AS n_references FROM orphans GROUP BY ALL",
+}
 QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p4_found, p4_report, p5_found, p5_components)}

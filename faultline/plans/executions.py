@@ -145,8 +145,7 @@ def daily_trend(spark, folder):
 count(*) FILTER (status = 'ERROR') AS error, count(*) FILTER (status = 'CANCELLED') AS cancelled FROM runs GROUP BY 1""")
 def monthly_pivot(spark, folder):
     pivot = _runs(spark, folder).groupBy(F.date_format("exported_at", "yyyy-MM").alias("month")).pivot("status", ["FINISHED", "FAILED", "ERROR", "CANCELLED"]).agg(F.count(F.lit(1)))
-    months = _runs(spark, folder).select(F.date_format("exported_at", "yyyy-MM").alias("month")).distinct()
-    return months.join(pivot, "month", "left").select("month", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("FINISHED", "FAILED", "ERROR", "CANCELLED")])
+    return pivot.select("month", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("FINISHED", "FAILED", "ERROR", "CANCELLED")])
 
 
 @query("SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM runs WHERE status IS NOT NULL GROUP BY status")
