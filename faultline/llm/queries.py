@@ -84,4 +84,21 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_durations, p6_packed, p6_fill, p7_found, p7_by_suite, p8_found, p8_restored)}
-SQL: dict[str, str] = {}
+_ID = r"try_cast(nullif(regexp_extract(execution_id, '^\s*0*([0-9]+?)(?:\.0)?\s*$', 1), '') AS BIGINT)"
+
+
+def _canonical(column: str, vocabulary: list[str]) -> str:
+    plain = f"regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    slips = " ".join(f"WHEN damerau_levenshtein({plain}, '{w.lower()}') <= 1 THEN '{w.lower()}'" for w in vocabulary)
+    return f"CASE WHEN {plain} IS NULL OR {plain} IN ('', 'nan') THEN NULL {slips} ELSE {plain} END"
+
+
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH r AS (SELECT {_ID} AS eid, *, row_number() OVER (PARTITION BY {_ID} ORDER BY exported_at DESC NULLS LAST, row_id DESC) AS n FROM pipelines_list),
+s AS (SELECT {_ID} AS eid, *, row_number() OVER (PARTITION BY {_ID} ORDER BY exported_at DESC NULLS LAST, row_id DESC) AS n FROM first_failed_steps),
+e AS (SELECT pipeline_id, r.eid, {_canonical("r.status", STATUSES)} AS state, {_canonical("first_failed_step", STEPS)} AS step FROM r LEFT JOIN s ON s.eid = r.eid AND s.n = 1 WHERE r.eid IS NOT NULL AND r.n = 1),
+o AS (SELECT *, CASE WHEN lag(state) OVER w IS DISTINCT FROM state OR lag(step) OVER w IS DISTINCT FROM step THEN 1 ELSE 0 END AS new FROM e
+WHERE pipeline_id IS NOT NULL AND state IS NOT NULL WINDOW w AS (PARTITION BY pipeline_id ORDER BY eid)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY pipeline_id ORDER BY eid ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT pipeline_id, min(eid) AS first_execution_id, max(eid) AS last_execution_id, count(*) AS n_executions FROM g GROUP BY pipeline_id, run HAVING count(*) > 1""",
+}
