@@ -41,8 +41,9 @@ SUSPICIOUS = (
     "(?=[^\\x00-\\x7f])(?:"
     f"[{_STRANGE}�¤¦¨¬¯´¸ƒ†‡‰ˆ˜]"
     f"|[{_LEADS}][\u00a0-¿ŒœŠšŸŽž–-›€™]"
-    "|(?<=[а-яё])[А-ЯЁ]|(?<=[a-z])[À-Þ]|[À-ÿ]{3}|(?<![\\wÀ-ÿ])[äôöûÆ](?![\\wÀ-ÿ])"
-    "|‚[ÄÀÃÂ]|(?<=[a-z])[¢£¥§©ª®±²³µ¶·¹º¼½¾]"
+    "|(?<=[а-яё])[А-ЯЁ]|(?<=[a-z])[À-Þ]|[À-ÿ]{3}|(?<![\\wÀ-ÿ])[À-ÿ](?![\\wÀ-ÿ])(?<![àáéèêíóúÀÁÉÓÍÔÚ])"
+    "|‚[ÄÀÃÂ]|(?<=[a-zA-Z])[¢£¥§©ª®±²³µ¶·¹º¼½¾]"
+    "|[Ѐ-ӿ][°±©®¶§«¬µ]|[À-ÿ]{2}[¡-ª¬-º¼-¿]"
     "|(?<=[a-zA-Z])[Ѐ-ӿ]|[Ѐ-ӿ](?=[a-zA-Z])|[À-ÿ][¡«°¿])"
 )
 
@@ -58,7 +59,12 @@ _RULES = [(re.compile(p), w) for p, w in [
     ("(?<=[A-Za-z])[ÆÐÞØ]", 1.0),
     ("(?<=[а-яё])[А-ЯЁ]", 2.0),
     ("(?<=[A-Za-zÀ-ɏ])[Ѐ-ԯ]|(?<=[Ѐ-ԯ])[A-Za-zÀ-ɏ]", 1.0),
-    ("(?<![^\\W_])[À-ÿ](?![^\\W_])(?<![àáéèêíóúÀÁÉÓÍÔÚ])", 1.0),
+    ("(?<![^\\W_])[À-ÿ](?![^\\W_])(?<![àáéèêíóúÀÁÉÓÍÔÚ])", 2.5),
+    ("[ðþÐÞ]", 1.0),
+    ("[ß-ÿ](?=[A-Z])", 1.5),
+    ("(?<=[a-zA-Z])[“”„´¨¯¸¬¦](?=[a-z])", 1.5),
+    ("[\ue000-\uf8ff]", 3.0),
+    ("[Ѐ-ӿ][°±©®¶§«¬µ]", 1.0),
     ("[ÂÃ][\u00a0»‘-”…]|â[€‚„†‡]", 1.0),
     ("[×÷]", 1.0),
     ("‚[ÄÀÃÂ]", 1.0),
@@ -72,6 +78,8 @@ _PAIRS = frozenset(_PAIR_OK.split())
 _RARITY = {c: i / 64 for i, c in enumerate("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ")}
 _CYRILLIC = re.compile("[А-я]")
 _CAPITALS = re.compile("(?<=[А-ЯЁ])[А-ЯЁ]")
+#: Blanks and hyphens inside a word that a wrong encoding would make; clean texts keep theirs.
+_BLANKS = re.compile("(?<=[^\\W\\d_])[\u00a0\u00ad](?=[^\\W\\d_])")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
 
@@ -110,6 +118,16 @@ def round_trip(text: str, read_as: str, meant: str) -> str | None:
         return None
 
 
+@lru_cache(maxsize=400_000)
+def _cost_in_sight(left: str, run: str, right: str) -> float:
+    """Cost of a repaired run in context, or that of one layer further if lower: an inner layer can look worse than the outer one."""
+    cost = garbling_cost(left + run + right)
+    if cost > 0 and not run.isascii():
+        further = (round_trip(run, e, "utf-8") for e in UTF8_READ_AS)
+        cost = min([cost, *(garbling_cost(left + f + right) + 0.1 for f in further if f is not None)])
+    return cost
+
+
 def repair_utf8(text: str, read_as: str) -> tuple[str, float]:
     """``text`` with its runs repaired that were UTF-8 read as ``read_as``, and by how much the cost dropped.
 
@@ -122,7 +140,7 @@ def repair_utf8(text: str, read_as: str) -> tuple[str, float]:
         fixed = round_trip(m.group(), read_as, "utf-8")
         if fixed is not None:
             left, right = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
-            gain = garbling_cost(left + m.group() + right) - garbling_cost(left + fixed + right)
+            gain = garbling_cost(left + m.group() + right) - _cost_in_sight(left, fixed, right)
             evidence += max(gain, 0.0)
             found.append((m.start(), m.end(), fixed, gain))
     if evidence <= 0:
@@ -155,7 +173,7 @@ def repair_swapped(text: str, read_as: str, meant: str) -> tuple[str, float]:
         if n == 0:
             to_kept = to_swapped = False
         paths.append((to_kept, to_swapped))
-        kept, swapped = (swapped + price if to_kept else kept) + garbling_cost(word), (kept + price if to_swapped else swapped) + (infinite if fixed is None else garbling_cost(fixed))
+        kept, swapped = (swapped + price if to_kept else kept) + garbling_cost(word), (kept + price if to_swapped else swapped) + (infinite if fixed is None else garbling_cost(fixed) + len(_BLANKS.findall(fixed)))
         fixes.append(fixed)
         end = m.end()
     state = swapped + 0.5 < kept
