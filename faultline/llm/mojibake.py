@@ -84,7 +84,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def garbling_cost(text: str) -> float:
     """How unlike clean text the characters of ``text`` are; 0 for ASCII."""
     if text.isascii():
@@ -108,7 +108,7 @@ def _encoder(encoding: str) -> dict[str, int]:
     return out
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def round_trip(text: str, read_as: str, meant: str) -> str | None:
     """``text`` encoded as it was read and strictly decoded as it was meant; None if either fails."""
     table = _encoder(read_as)
@@ -118,7 +118,7 @@ def round_trip(text: str, read_as: str, meant: str) -> str | None:
         return None
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def _cost_in_sight(left: str, run: str, right: str) -> float:
     """Cost of a repaired run in context, or that of one layer further if lower: an inner layer can look worse than the outer one."""
     cost = garbling_cost(left + run + right)
