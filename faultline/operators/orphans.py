@@ -58,18 +58,21 @@ def key_code(key: Column) -> Column:
 def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per (table, range, period) bitmap of references: the codes left after AND-NOT with the parents that came in earlier periods."""
     for batch in batches:
-        rows = []
-        for table, span, period, packed, parents in zip(batch["table_name"], batch["span"], batch["period"], batch["bitmap"], batch["parents"], strict=True):
-            refs, known, before = unpack_bits(packed), np.zeros(RANGE_CODES, dtype=bool), np.zeros(RANGE_CODES, dtype=bool)
-            for parent in parents if parents is not None else ():
-                bits = unpack_bits(parent["bitmap"])
-                known |= bits
-                if parent["period"] < period:
-                    before |= bits
-            left = refs & ~before
-            for code in np.flatnonzero(left):
-                rows.append((table, span, period, int(code), bool(known[code])))
-        yield pd.DataFrame(rows, columns=["table_name", "span", "period", "code", "known"])
+        batch = batch.sort_values("span", kind="stable")
+        current, rows, codes, known = None, [], [], []
+        for n, (span, period, packed, parents) in enumerate(zip(batch["span"], batch["period"], batch["bitmap"], batch["parents"], strict=True)):
+            if span != current:
+                # The range's parent bitmaps laid over one another, earliest last: each code's first period.
+                current, first = span, np.full(RANGE_CODES, np.iinfo(np.int64).max)
+                for parent in sorted(parents if parents is not None else (), key=lambda p: -p["period"]):
+                    first[unpack_bits(parent["bitmap"])] = parent["period"]
+            left = np.flatnonzero(unpack_bits(packed) & ~(first < period))
+            rows.append(np.full(len(left), n))
+            codes.append(left)
+            known.append(first[left] < np.iinfo(np.int64).max)
+        if rows:
+            kept = batch.iloc[np.concatenate(rows)]
+            yield pd.DataFrame({"table_name": kept["table_name"], "span": kept["span"], "period": kept["period"], "code": np.concatenate(codes), "known": np.concatenate(known)})
 
 
 def orphan_references(references: DataFrame, parents: DataFrame, period_format: str = "yyyy-MM") -> DataFrame:
@@ -96,9 +99,10 @@ def orphan_references(references: DataFrame, parents: DataFrame, period_format:
     far = F.lit(2**62).cast("bigint")
     day = lambda c: F.coalesce(F.floor(c / F.lit(86_400_000_000)), F.lit(2**40)).cast("bigint")
 
+    # The last filter is what the joins below would infer, each for its side only; stated for all, branches can share an exchange.
     def coded(rows: DataFrame, *extra: Column) -> DataFrame:
         keyed = rows.select(*extra, whole_number(F.col("execution_id").cast("string")).alias("key"), clock_micros(rows, "exported_at").alias("us")).where("key is not null")
-        return keyed.withColumns({"span": key_range(F.col("key")), "code": key_code(F.col("key"))}).drop("key")
+        return keyed.withColumns({"span": key_range(F.col("key")), "code": key_code(F.col("key"))}).drop("key").where("span is not null and code is not null")
 
     refs = coded(references, F.col("table_name"), F.col("row_id"), F.date_format("exported_at", period_format).alias("label")).withColumn("period", day(F.col("us")))
     first = coded(parents).groupBy("span", "code").agg(F.min(F.coalesce("us", far)).alias("first_us"))
@@ -106,7 +110,10 @@ def orphan_references(references: DataFrame, parents: DataFrame, period_format:
     ref_maps = refs.groupBy("table_name", "span", "period").agg(F.collect_set("code").alias("codes")).select("table_name", "span", "period", _pack("codes").alias("bitmap"))
     parent_maps = first.withColumn("period", day(F.col("first_us"))).groupBy("span", "period").agg(F.collect_set("code").alias("codes")).select("span", "period", _pack("codes").alias("bitmap"))
     by_span = parent_maps.groupBy("span").agg(F.collect_list(F.struct("period", "bitmap")).alias("parents"))
-    left = ref_maps.join(by_span, "span", "left").select("table_name", "span", "period", "bitmap", "parents").mapInPandas(_and_not, "table_name string, span string, period bigint, code int, known boolean")
+    # Compressed bitmaps are so small that AQE would put all of them into one task; a stated number of partitions is kept.
+    tasks = int(references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = ref_maps.join(by_span, "span", "left").select("table_name", "span", "period", "bitmap", "parents").repartition(tasks, "span", "period")
+    left = pairs.mapInPandas(_and_not, "table_name string, span string, period bigint, code int, known boolean")
 
     decoded = left.join(first, ["span", "code"], "left").select("table_name", "span", "code", "period", "known", "first_us")
     found = refs.join(decoded, ["table_name", "span", "code", "period"]).where(~F.col("known") | (F.col("first_us") > F.coalesce("us", far)))
