@@ -84,13 +84,32 @@ def parse_change_log(lines: DataFrame, log: str, position: str, line: str, heade
 
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, keys: Sequence[str], cap: int) -> DataFrame:
-    """Per needle: in how many texts it occurs as a whole word, and the first ``cap`` of their keys.
+    """Per needle: in how many texts it occurs as a whole word, the least of their keys, and the count cut to ``cap``.
 
-    Texts are cut into words and joined on equality, not compared with every
-    needle.  NULL and blank needles find nothing.
+    Texts are cut into words of ``[a-z0-9_.-]`` and joined on equality, not
+    compared with every needle, so a needle inside a longer word is not found;
+    ``reference_join`` finds those.  NULL and blank needles find nothing.
     """
     key = keys[0]
     words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_.\-]+"), F.lit(0)))).alias("_w"))
     wanted = needles.select(F.col(needle), F.lower(needle).alias("_w")).where("_w <> ''").distinct()
     hits = words.join(wanted, "_w").groupBy(needle).agg(F.count("*").alias("n_refs"), F.min(key).alias("first_ref"))
     return hits.withColumn("capped_refs", F.least(F.col("n_refs"), F.lit(cap).cast("bigint")))
+
+
+def reference_join(texts: DataFrame, key: str, text: str, terms: DataFrame, owner: str, term: str, cap: int) -> DataFrame:
+    """(owner, n_refs, refs): in how many texts any of an owner's terms occurs, case aside, and the first ``cap`` of their keys in order.
+
+    A term matches anywhere inside a text, not only as a whole word; a text
+    that holds several terms of one owner counts once.  NULL and blank terms
+    find nothing; owners without a text give no row.  ``terms`` is the small
+    side: every text is compared with every distinct term, and only (owner, key)
+    pairs are shuffled; the keys are cut to ``cap`` before they meet per owner.
+    """
+    low = texts.select(F.col(key).alias("_key"), F.lower(text).alias("_text")).where("_key is not null and _text is not null")
+    wanted = terms.where(F.col(owner).isNotNull() & (F.trim(term) != "")).select(F.col(owner).alias("_owner"), F.lower(term).alias("_term")).distinct()
+    pairs = low.join(wanted, F.contains("_text", "_term")).select("_owner", "_key").distinct()
+    counts = pairs.groupBy("_owner").agg(F.count("*").alias("n_refs"))
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("_owner").orderBy("_key"))).where(F.col("_r") <= cap)
+    refs = first.groupBy("_owner").agg(F.sort_array(F.collect_list("_key")).alias("refs"))
+    return counts.join(refs, "_owner").select(F.col("_owner").alias(owner), "n_refs", "refs")

@@ -106,6 +106,15 @@ def contains_refs(spark, folder):
     return ops.contains_join(table(spark, folder, "documents"), "text", needles, "needle", ["doc_id"], 20)
 
 
+@query("""WITH n AS (SELECT DISTINCT program_name, lower(unnest(string_split(program_name, ' '))) AS term FROM programs),
+h AS (SELECT DISTINCT program_name, doc_id FROM documents JOIN n ON contains(lower(text), term) WHERE trim(term) <> '')
+SELECT program_name, count(*) AS n_refs, list(doc_id ORDER BY doc_id)[1:20] AS refs FROM h GROUP BY program_name""")
+def contains_refs_substring(spark, folder):
+    """Documents that hold any word of a program's name, also inside longer words: how many, and the first 20."""
+    terms = table(spark, folder, "programs").select("program_name", F.explode(F.split("program_name", " ")).alias("term"))
+    return ops.reference_join(table(spark, folder, "documents"), "doc_id", "text", terms, "program_name", "term", 20)
+
+
 @query(r"""WITH l AS (SELECT log_id, generate_subscripts(key_lines, 1) AS pos, unnest(key_lines) AS line FROM parsed_logs),
 f AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\[[A-Z]+\]') THEN line END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS header FROM l)
 SELECT log_id, CAST(pos - 1 AS BIGINT) AS pos, md5(line) AS line_md5, md5(header) AS header_md5 FROM f
