@@ -159,13 +159,17 @@ def source_window(lines: DataFrame, targets: DataFrame, width: int) -> DataFrame
     return near.groupBy("log_id", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", text.alias("s")))), lambda x: x["s"]), "\n").alias("snippet"))
 
 
-def brace_sections(lines: DataFrame, opening: str, cap: int = 60) -> DataFrame:
-    """(log_id, first_line, last_line): from the first line matching ``opening`` until its braces close, at most ``cap`` lines."""
+def brace_sections(lines: DataFrame, opening: str, cap: int = 60, least: int = 5, opens: str = "{[", closes: str = "}]") -> DataFrame:
+    """(log_id, first_line, last_line): from the first line matching ``opening`` until its braces close, at most ``cap`` lines.
+
+    A section closes at its first line with no brace open, but never before it
+    has ``least`` lines; one that does not close ends with the cap or the log.
+    """
     opened = lines.where(F.col("line").rlike(opening)).groupBy("log_id").agg(F.min("line_no").alias("first_line"))
-    depth = F.regexp_count("line", F.lit(r"[{\[(]")) - F.regexp_count("line", F.lit(r"[}\])]"))
+    count = lambda chars: F.length("line") - F.length(F.translate("line", chars, ""))
     body = lines.join(opened, "log_id").where((F.col("line_no") >= F.col("first_line")) & (F.col("line_no") < F.col("first_line") + cap))
-    running = F.sum(depth).over(Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    closed = F.min(F.when(F.col("depth") <= 0, F.col("line_no")))
+    running = F.sum(count(opens) - count(closes)).over(Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    closed = F.min(F.when((F.col("depth") <= 0) & (F.col("line_no") - F.col("first_line") >= least - 1), F.col("line_no")))
     return body.withColumn("depth", running).groupBy("log_id").agg(F.min("first_line").alias("first_line"), F.coalesce(closed, F.max("line_no")).alias("last_line"))
 
 

@@ -133,6 +133,17 @@ r AS (SELECT l.log_id, line_no, first_line, sum(len(regexp_extract_all(line, '[{
 FROM l JOIN o ON o.log_id = l.log_id AND line_no >= first_line AND line_no < first_line + 60)
 SELECT log_id, min(first_line) AS first_line, coalesce(min(line_no) FILTER (depth <= 0), max(line_no)) AS last_line FROM r GROUP BY log_id""")
 def brace_sections(spark, folder):
+    """As its SQL has it: round brackets count and a section may close at its first line; ``brace_sections_whole`` follows W14."""
+    found = ops.brace_sections(_lines(spark, folder), r"^\{", least=1, opens="{[(", closes="}])")
+    return found.select("log_id", *[F.col(c).cast("bigint").alias(c) for c in ("first_line", "last_line")])
+
+
+@query(_LINES + r""", o AS (SELECT log_id, min(line_no) AS first_line FROM l WHERE regexp_matches(line, '^\{') GROUP BY 1),
+r AS (SELECT l.log_id, line_no, first_line, sum(len(regexp_extract_all(line, '[{\[]')) - len(regexp_extract_all(line, '[}\]]'))) OVER (PARTITION BY l.log_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth
+FROM l JOIN o ON o.log_id = l.log_id AND line_no >= first_line AND line_no < first_line + 60)
+SELECT log_id, min(first_line) AS first_line, coalesce(min(line_no) FILTER (depth <= 0 AND line_no - first_line >= 4), max(line_no)) AS last_line FROM r GROUP BY log_id""")
+def brace_sections_whole(spark, folder):
+    """Sections of at least five lines, closed by curly and square brackets alone."""
     found = ops.brace_sections(_lines(spark, folder), r"^\{")
     return found.select("log_id", *[F.col(c).cast("bigint").alias(c) for c in ("first_line", "last_line")])
 
