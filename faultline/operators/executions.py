@@ -83,7 +83,7 @@ def counts_with_zeros(rows: DataFrame, column: str, known: Sequence[str]) -> Dat
     return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).unionByName(zeros).groupBy(column).agg(F.sum("n").alias("n"))
 
 
-def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
+def top_per_group(rows: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group.  ``order`` must be total for a defined result.
 
     The rank filter is pushed into a partial limit before the shuffle
@@ -140,3 +140,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     found = stacked.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside)).where("_side = 1").join(carried, ["_k", "_b"], "left")
     answer = F.when(F.col("_t").isNotNull(), F.coalesce("_found", "_carried"))
     return found.withColumn("_answer", answer).select("_row.*", *[F.col(f"_answer.{c}").alias(f"found_{c}") for c in columns])
+
+
+def success_logs(runs: DataFrame, logs: DataFrame, pipeline: str, execution: str, started: str, step: str, log_id: str, text: str, newest: int = 9, keep: int = 3, shortest: int = 50) -> DataFrame:
+    """(pipeline, step, log_id, text): per pipeline and step the last ``keep`` usable logs among the ``newest`` finished executions of the pipeline.
+
+    ``runs``: one row per execution with pipeline, execution, started, status.
+    Usable is a log of more than ``shortest`` characters.  The newest start
+    comes first, unknown starts last, ties go to the greater execution and then
+    the smaller log.  Executions without a log of the step use up the
+    ``newest``.  NULL pipelines, executions and steps have none.
+    """
+    order = [F.desc_nulls_last(started), F.desc(execution)]
+    finished = runs.where((F.col("status") == "FINISHED") & F.col(pipeline).isNotNull()).select(pipeline, execution, started)
+    last = top_per_group(finished, pipeline, order, newest).drop("rank")
+    usable = logs.where((F.length(text) > shortest) & F.col(step).isNotNull()).select(execution, step, log_id, text)
+    return top_per_group(last.join(usable, execution), [pipeline, step], [*order, F.col(log_id)], keep).select(pipeline, step, log_id, text)

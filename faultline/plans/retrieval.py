@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.ids import whole_number_long
+from faultline.functions.instants import add_utc_micros
 from faultline.operators import drain
 from faultline.operators import executions as ex
 from faultline.operators import loglines
 from faultline.operators import retrieval as ops
+from faultline.operators.timenorm import with_zones
 from faultline.plans.executions import _EID, VIEWS
 from faultline.sources.tables import table
 
@@ -107,12 +110,31 @@ def normalised_query(spark, folder):
 
 @query()
 def drain_templates(spark, folder):
-    """Templates per canonical step."""
+    """Templates per canonical step of all parsed logs, failed ones too; ``success_templates`` has those of success logs."""
     logs = table(spark, folder, "parsed_logs").withColumn("s", F.regexp_replace(F.lower("step"), "[^a-z0-9]", ""))
     lines = logs.select("s", F.explode("key_lines").alias("line"))
     return drain.mine(lines, "s", "line")
 
 
+def pipeline_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per execution: eid, pipeline (lower-case name), status and start of its latest export."""
+    exported = table(spark, folder, "pipelines_list").withColumns({"eid": whole_number_long(F.col("execution_id")), "pipeline": F.nullif(F.lower(F.trim("pipeline_name")), F.lit(""))})
+    last = ex.latest_by_key(exported, "eid", ["exported_at", "row_id"], ["pipeline", "status", "program_id", "deploy_start_time"])
+    zoned, unique = with_zones(last, "program_id", table(spark, folder, "programs"))
+    timed = add_utc_micros(zoned, "deploy_start_time", "_zone_name", "_abbreviations", "started", unique)
+    return timed.select("eid", "pipeline", F.upper(F.trim("status")).alias("status"), "started")
+
+
+@query()
+def success_templates(spark, folder):
+    """Templates of the last three usable logs among the newest nine finished executions, per pipeline and step."""
+    logs = table(spark, folder, "parsed_logs").select("log_id", whole_number_long(F.col("execution_id")).alias("eid"), F.regexp_replace(F.lower("step"), "[^a-z0-9]", "").alias("step"), F.array_join("key_lines", "\n").alias("text"))
+    chosen = ex.success_logs(pipeline_runs(spark, folder), logs, "pipeline", "eid", "started", "step", "log_id", "text")
+    lines = chosen.select(F.concat_ws("\u0001", "pipeline", "step").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
+    key = F.split("key", "\u0001")
+    return drain.mine(lines, "key", "line").select(key[0].alias("pipeline"), key[1].alias("step"), "template", "n")
+
+
 @query("""SELECT label, n, CAST(floor(avg_norm * 100) AS BIGINT) AS mean_norm FROM (SELECT CAST(label AS BIGINT) AS label, count(*) AS n, avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS avg_norm
 FROM embeddings GROUP BY label HAVING count(*) >= 2)""")
 def recurring_labels(spark, folder):
