@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 ERROR_WORDS = ["fatal", "panic", "error", "exit", "kill", "no such file", "err:", "failures:", "exception", "build failure", "npm err!", "compilation error", "fail:"]
 #: Patterns of a sure failure.
 FAILURE_PATTERNS = ["FAIL:", "Failures:", "BUILD FAILURE", "npm ERR!"]
+#: Patterns (any case) that make a line a candidate in the logs of one step.
+STEP_PATTERNS = {
+    "build": [r"\[ERROR\]", "BUILD FAILURE", "Cannot find module", "Module not found", "npm ERR!", r"error TS\d+"],
+    "securitytest": ["- Failed", "WARN -", "ERROR"],
+    "deploy": ["ERROR", "FAILED", "Deployment failed"],
+    "loadtest": ["FAILED", "ERROR", "AssertionError"],
+    "codequality": ["FAILED", "Quality gate", "ERROR"],
+}
 CONTEXT_BEFORE, CONTEXT_AFTER, TAIL_SHARE = 4, 6, 0.85
 SECRET = r"(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*\S+"
 
@@ -54,30 +62,43 @@ def is_candidate_word(line: Column) -> Column:
     return out
 
 
+def is_step_match(step: Column, line: Column) -> Column:
+    """Whether a line matches a pattern of its step (lower-case letters); a NULL or unknown step has none."""
+    out = F.lit(False)
+    for name, patterns in STEP_PATTERNS.items():
+        out = out | (step.eqNullSafe(F.lit(name)) & line.rlike("(?i)" + "|".join(patterns)))
+    return out
+
+
 def is_failure(line: Column) -> Column:
     """Whether a line matches a sure failure pattern."""
     return line.rlike("(?i)" + "|".join(FAILURE_PATTERNS))
 
 
-def candidates(lines: DataFrame, noise_ids: DataFrame | None = None, least: int = 2, fallback: int = 20) -> DataFrame:
+def candidates(lines: DataFrame, noise: DataFrame | None = None, least: int = 2, fallback: int = 20, step: str | None = None) -> DataFrame:
     """Lines with ``candidate`` (boolean), ``tail_score`` and ``template``.
 
-    A non-blank line is a candidate if it has an error word or lies in the last
-    part of its log, is no noise (its template occurs in ``noise_ids``), and is
-    the first such line of its template.  A log with at most ``least``
-    candidates takes its last ``fallback`` lines besides.  Blank and NULL lines
-    are dropped; the score counts only the others.
+    A non-blank line is a candidate if it has an error word, matches a pattern
+    of its ``step`` (a column of ``lines``) or lies in the last part of its
+    log, is no noise (``noise``: log_id, line_no), and is the first such line
+    of its template.  A log with at most ``least`` candidates takes its last
+    ``fallback`` lines besides, without noise.  Blank and NULL lines are
+    dropped; the score counts only the others, noise too.
     """
     kept = lines.where(F.trim("line") != "").withColumn("template", template_id(F.col("line")))
-    if noise_ids is not None:
-        kept = kept.join(noise_ids.select("template").distinct().withColumn("noise", F.lit(True)), "template", "left").withColumn("noise", F.coalesce("noise", F.lit(False)))
+    if noise is not None:
+        marks = noise.select("log_id", "line_no").distinct().withColumn("noise", F.lit(True))
+        kept = kept.join(marks, ["log_id", "line_no"], "left").withColumn("noise", F.coalesce("noise", F.lit(False)))
     else:
         kept = kept.withColumn("noise", F.lit(False))
+    known = is_candidate_word(F.col("line"))
+    if step is not None:
+        known = known | is_step_match(F.col(step), F.col("line"))
     per_log = Window.partitionBy("log_id")
     pos = F.row_number().over(per_log.orderBy("line_no")) - 1
     n = F.count("*").over(per_log)
     scored = kept.withColumns({"pos": pos, "n": n}).withColumn("tail_score", F.when(F.col("n") <= 1, 1.0).otherwise(F.col("pos") / F.greatest(F.col("n") - 1, F.lit(1))))
-    matched = ~F.col("noise") & (is_candidate_word(F.col("line")) | (F.col("tail_score") >= TAIL_SHARE))
+    matched = ~F.col("noise") & (known | (F.col("tail_score") >= TAIL_SHARE))
     scored = scored.withColumn("matched", matched)
     first = F.row_number().over(Window.partitionBy("log_id", "template", "matched").orderBy("line_no")) == 1
     chosen = scored.withColumn("first", F.col("matched") & first)

@@ -227,3 +227,19 @@ def noise_lines(lines: DataFrame, line: str, templates: DataFrame, template: str
     holds = keyed.join(patterns.select("_t", longest(F.col("_t")).alias("_w")), "_w").where(F.contains("_l", "_t"))
     inside = given.select("*", longest(F.col("_l")).alias("_w")).join(patterns.select("_t", F.explode(words(F.col("_t"))).alias("_w")), "_w").where(F.contains("_t", "_l") & (F.length("_l") > shortest))
     return holds.unionByName(inside).drop("_l", "_w", "_t").distinct()
+
+
+def template_noise(lines: DataFrame, line: str, templates: DataFrame, template: str, keys: Sequence[str], shortest: int = 20) -> DataFrame:
+    """Lines that equal a template of their ``keys``, hold one of more than ``shortest`` characters, or lie inside one and are longer than that.
+
+    Both sides are masked.  Lines meet the templates of their own keys alone
+    (a few logs' worth) by an equi-join and are compared with each as
+    substrings, so no match is lost.  NULL keys and blank lines are no noise.
+    """
+    known = templates.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(template).alias("_t")).where(F.trim("_t") != "").distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    text = F.col(line)
+    match = (text == F.col("_t")) | ((F.length("_t") > shortest) & F.contains(text, F.col("_t"))) | ((F.length(text) > shortest) & F.contains(F.col("_t"), text))
+    return lines.where(F.trim(text) != "").join(known, same & match, "left_semi")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.ids import whole_number_long
 from faultline.operators import loglines as ops
+from faultline.operators import retrieval
+from faultline.plans.retrieval import pipeline_runs, success_templates
+from faultline.session import cut_lineage
 from faultline.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -50,8 +54,24 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return ops.lines_of_arrays(table(spark, folder, "parsed_logs"), "log_id", "key_lines")
 
 
+def _candidates_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates with the patterns of their step, without noise: lines of the success templates of their pipeline and step.
+
+    Action: the templates (those of three logs per pipeline and step) are kept in the checkpoint folder.
+    """
+    logs = table(spark, folder, "parsed_logs").select("log_id", whole_number_long(F.col("execution_id")).alias("eid"), F.regexp_replace(F.lower("step"), "[^a-z0-9]", "").alias("step"), "key_lines")
+    templates = cut_lineage(success_templates(spark, folder).select("pipeline", "step", ops.mask_line(F.col("template")).alias("template")))
+    lines = logs.select("log_id", "step", F.posexplode("key_lines").alias("line_no", "line"))
+    named = logs.join(pipeline_runs(spark, folder).select("eid", "pipeline"), "eid").select("log_id", "pipeline", "step", F.posexplode("key_lines").alias("line_no", "line"))
+    noise = retrieval.template_noise(named.withColumn("mask", ops.mask_line(F.col("line"))), "mask", templates, "template", ["pipeline", "step"])
+    return ops.candidates(lines, noise, step="step")
+
+
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = ops.candidates(_lines(spark, folder))
+    return _with_last(ops.candidates(_lines(spark, folder)))
+
+
+def _with_last(chosen: DataFrame) -> DataFrame:
     last = chosen.groupBy("log_id").agg(F.max("line_no").alias("last_line"))
     return chosen.join(last, "log_id")
 
@@ -90,6 +110,12 @@ def log_candidates(spark, folder):
     return ops.candidates(_lines(spark, folder)).select("log_id", F.col("line_no").cast("bigint").alias("line_no"), F.round("tail_score", 6).alias("tail_score"), "candidate")
 
 
+@query()
+def log_candidates_whole(spark, folder):
+    """Candidates by error words, patterns of the step and tail, noise dropped; ``log_candidates`` knows the words and the tail alone, as its SQL."""
+    return _candidates_whole(spark, folder).select("log_id", F.col("line_no").cast("bigint").alias("line_no"), F.round("tail_score", 6).alias("tail_score"), "candidate")
+
+
 @query(_pipeline_sql(0) + "SELECT log_id, block_no, a AS start_line, z AS end_line FROM b")
 def context_blocks(spark, folder):
     found = ops.context_blocks(_marked(spark, folder))
@@ -109,8 +135,9 @@ def block_density(spark, folder):
 
 @query()
 def pack_blocks(spark, folder):
-    """Blocks chosen under a budget of 60 tokens a log."""
-    return ops.pack_blocks(ops.block_density(line_weights(spark, folder)), 60)
+    """Blocks chosen under a budget of 60 tokens a log, around the candidates of ``log_candidates_whole``."""
+    marked = _with_last(_candidates_whole(spark, folder))
+    return ops.pack_blocks(ops.block_density(ops.line_weights(marked, ops.context_blocks(marked))), 60)
 
 
 @query(_LINES + r""", p AS (SELECT *, last_value(CASE WHEN contains(line, '[ERROR]') THEN line END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS cause FROM l)
