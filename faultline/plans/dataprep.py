@@ -14,9 +14,9 @@ from faultline.operators.orphans import orphan_references
 from faultline.operators.timenorm import normalise_times, with_zones
 from faultline.sources.tables import table
 
-#: The usual spelling of each field, which needs no normalisation.
+#: The usual spelling of each field, which needs no normalisation; a deploy time in any zone but PDT is not the usual one.
 USUAL_FORMS = {
-    "deploy_start_time": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3} [A-Z]{2,5}$",
+    "deploy_start_time": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3} PDT$",
     "search_time": r"^\d+\.\d{9}$",
     "predicted_at": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}\+00:00$",
 }
@@ -88,7 +88,36 @@ _P4 = f"""WITH parents AS (SELECT {_ID} AS k, min(exported_at) AS first FROM pip
 refs AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, {_ID} AS k, exported_at FROM {t}" for t in REFERRING)}),
 orphans AS (SELECT table_name, row_id, CASE WHEN parents.k IS NULL THEN 'missing' ELSE 'late' END AS kind, strftime(exported_at, '%Y-%m') AS period
 FROM refs LEFT JOIN parents ON parents.k = refs.k WHERE refs.k IS NOT NULL AND (parents.k IS NULL OR first > exported_at)) """
+#: Independent of the cascade: the zone is cut off first, then DuckDB's own list of formats reads the rest; abbreviations have fixed offsets in hours.
+_ZONES = """z(abbr, hours) AS (VALUES ('Z', 0.0), ('UTC', 0.0), ('GMT', 0.0), ('PDT', -7.0), ('PST', -8.0), ('EDT', -4.0), ('EST', -5.0), ('CEST', 2.0), ('CET', 1.0), ('IST', 5.5), ('AEDT', 11.0), ('AEST', 10.0)),"""
+_INSTANTS = r"""t AS (SELECT v.*, regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '\[[^\]]*\]$', '') AS x, zone_name FROM v LEFT JOIN programs ON regexp_replace(trim(pid), '^0+|\.0$', '', 'g') = CAST(programs.program_id AS VARCHAR)),
+c AS (SELECT *, regexp_matches(x, '^\d+([.,]\d+)?(E\d+)?$') AS numeric, regexp_extract(x, '(?:[\d ])(Z|[A-Z]{3,5}|[+-]\d\d:?\d\d)$', 1) AS zone, rpad(substr(regexp_extract(x, ':\d\d[.,](\d+)', 1), 1, 6), 6, '0') AS fraction FROM t),
+h AS (SELECT *, trim(regexp_replace(substr(x, 1, length(x) - length(zone)), '(:\d\d)[.,]\d+', '\1')) AS head FROM c),
+l AS (SELECT *, try_strptime(head, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%Y%m%dT%H%M%S', '%m/%d/%Y %I:%M:%S %p', '%d.%m.%Y %H:%M:%S', '%a, %d %b %Y %H:%M:%S', '%b %d, %Y %I:%M:%S %p']) AS local,
+CASE WHEN numeric THEN CASE WHEN contains(x, 'E') THEN CAST(regexp_replace(rpad(replace(split_part(x, 'E', 1), '.', ''), 20, '0'), '^(.{' || (1 + CAST(split_part(x, 'E', 2) AS INT)) || '})', '\1.') AS DECIMAL(38, 9)) ELSE CAST(replace(x, ',', '.') AS DECIMAL(38, 9)) END END AS number FROM h),
+o AS (SELECT l.*, CASE WHEN regexp_matches(zone, '^[+-]') THEN (CAST(substr(zone, 2, 2) AS INT) * 60 + CAST(right(zone, 2) AS INT)) * CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END ELSE hours * 60 END AS minutes FROM l LEFT JOIN z ON abbr = zone),
+u AS (SELECT *, CASE WHEN numeric THEN CAST(floor(number * CASE WHEN number < 1e11 THEN 1000000 WHEN number < 1e14 THEN 1000 WHEN number < 1e17 THEN 1 ELSE 0.001 END) AS BIGINT)
+WHEN zone = '' THEN epoch_us(timezone(zone_name, local)) + CAST(fraction AS BIGINT) ELSE epoch_us(local) + CAST(fraction AS BIGINT) - CAST(minutes * 60000000 AS BIGINT) END AS utc_micros FROM o) """
+
+
+def _values(*columns: tuple[str, str]) -> str:
+    """The opening of a statement that reads the columns (table, column) as instants ``u.utc_micros``."""
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, '{c}' AS field_name, {c} AS raw, CAST(program_id AS VARCHAR) AS pid FROM {t}" for t, c in columns)
+    return f"WITH {_ZONES} v AS ({rows}),\n{_INSTANTS}"
+
+
+_P1 = _values(("pipelines_list", "deploy_start_time"), ("pipelines_list", "search_time"), ("predictions", "predicted_at"))
 SQL = {
+    "p1_found": _P1 + r"""SELECT table_name, row_id, field_name, utc_micros FROM u WHERE utc_micros IS NOT NULL AND NOT CASE field_name WHEN 'deploy_start_time' THEN regexp_full_match(raw, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3} PDT')
+WHEN 'search_time' THEN regexp_full_match(raw, '\d+\.\d{9}') ELSE regexp_full_match(raw, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00') END""",
+    "p1_coverage": _P1 + "SELECT table_name, field_name, count(*) AS n_rows, count(raw) AS n_values, count(utc_micros) AS n_instants FROM u GROUP BY ALL",
+    "p2_found": _values(("pipelines_list", "deploy_start_time"), ("pipelines_list", "end_time")) + """, e AS (SELECT pipeline_id, s, e FROM (SELECT row_id, max(utc_micros) FILTER (field_name = 'deploy_start_time') AS s, max(utc_micros) FILTER (field_name = 'end_time') AS e FROM u GROUP BY row_id)
+JOIN pipelines_list USING (row_id) WHERE pipeline_id IS NOT NULL AND e >= s),
+n AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY pipeline_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM e),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY pipeline_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM n),
+p AS (SELECT pipeline_id, min(s) AS s, max(e) AS e FROM g GROUP BY pipeline_id, island),
+f AS (SELECT *, lead(s) OVER (PARTITION BY pipeline_id ORDER BY s) AS following FROM p)
+SELECT pipeline_id, 'period' AS kind, s AS start_micros, e AS end_micros FROM f UNION ALL SELECT pipeline_id, 'gap', e, following FROM f WHERE following IS NOT NULL""",
     "p4_found": _P4 + "SELECT * FROM orphans",
     "p4_report": _P4 + "SELECT table_name, period, kind, count(*) AS n_references FROM orphans GROUP BY ALL",
 }
