@@ -2,7 +2,9 @@
 
 Method: round-trip repair.  Text is encoded again with each candidate legacy
 encoding and strictly decoded as the intended one, layer after layer, as long
-as a garbling cost drops.  Two families of candidates:
+as a garbling cost drops.  The cost is measured on the corpus itself: how few
+of all documents hold a pair of neighbouring characters.  Two families of
+candidates:
 
 * UTF-8 read as a legacy encoding: each run of non-ASCII characters must
   encode and then decode as UTF-8 as a whole, and its cost in context must
@@ -15,14 +17,19 @@ as a garbling cost drops.  Two families of candidates:
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.languages import SENTENCES
+from faultline.session import cut_lineage
+
 #: Legacy encodings that UTF-8 may have been read as, the likelier first.
 UTF8_READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866"]
 #: (read as, meant): one legacy encoding read as another, the likelier first.
@@ -31,68 +38,140 @@ READ_AS_MEANT = [
     ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp866", "koi8-r"), ("koi8-r", "cp866"), ("cp1251", "cp1252"), ("cp1250", "cp1252"),
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1250"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("mac_roman", "cp1251"), ("cp437", "cp1251"),
 ]
-MAX_LAYERS = 4
-
-#: Code points no clean text of the supported scripts is full of: controls, other Cyrillic, Greek, Latin beyond Western Europe, mathematics, boxes.
-_STRANGE = "\x80-\x9fĀ-őŔ-˿Ͱ-ЀЂ-Џѐђ-ԯ⁰-₟←-◿"
-_LEADS = "Â-ßâ"
-#: One look that clean texts fail (as a Java and a Python pattern): what may be garbled.  The leading test passes over ASCII at once.
-SUSPICIOUS = (
-    "(?=[^\\x00-\\x7f])(?:"
-    f"[{_STRANGE}�¤¦¨¬¯´¸ƒ†‡‰ˆ˜]"
-    f"|[{_LEADS}][\u00a0-¿ŒœŠšŸŽž–-›€™]"
-    "|(?<=[а-яё])[А-ЯЁ]|(?<=[a-z])[À-Þ]|[À-ÿ]{3}|(?<![\\wÀ-ÿ])[À-ÿ](?![\\wÀ-ÿ])(?<![àáéèêíóúÀÁÉÓÍÔÚ])"
-    "|‚[ÄÀÃÂ]|(?<=[a-zA-Z])[¢£¥§©ª®±²³µ¶·¹º¼½¾]"
-    "|[Ѐ-ӿ][°±©®¶§«¬µ]|[À-ÿ]{2}[¡-ª¬-º¼-¿]"
-    "|(?<=[a-zA-Z])[Ѐ-ӿ]|[Ѐ-ӿ](?=[a-zA-Z])|[À-ÿ][¡«°¿])"
-)
-
-_PAIR_OK = "çã çõ çá çé çí çó çú çâ çê çà ÇÃ ÇÕ ÇÁ öß äß üß éé íç úç éç"
-_RULES = [(re.compile(p), w) for p, w in [
-    ("[\x80-\x9f]", 3.0),
-    ("[⁰-₟←-◿Ͱ-Ͽ]", 2.0),
-    ("[Ā-őŔ-ŷŹ-ƑƓ-˿]", 1.0),
-    ("[ЀЂ-Џѐђ-ԯ]", 1.0),
-    ("[¤¦¨¬¯´¸ƒ†‡‰ˆ˜]", 1.0),
-    ("(?<=[^\\W\\d_])[¡¢£¥§©ª«®°±²³µ¶·¹º¼½¾¿‚„‹€™•]", 1.0),
-    ("(?<=[a-zß-ÿ])[À-ÞŒŠŸŽ]", 2.0),
-    ("(?<=[A-Za-z])[ÆÐÞØ]", 1.0),
-    ("(?<=[а-яё])[А-ЯЁ]", 2.0),
-    ("(?<=[A-Za-zÀ-ɏ])[Ѐ-ԯ]|(?<=[Ѐ-ԯ])[A-Za-zÀ-ɏ]", 1.0),
-    ("(?<![^\\W_])[À-ÿ](?![^\\W_])(?<![àáéèêíóúÀÁÉÓÍÔÚ])", 2.5),
-    ("[ðþÐÞ]", 1.0),
-    ("[ß-ÿ](?=[A-Z])", 1.5),
-    ("(?<=[a-zA-Z])[“”„´¨¯¸¬¦](?=[a-z])", 1.5),
-    ("[\ue000-\uf8ff]", 3.0),
-    ("[Ѐ-ӿ][°±©®¶§«¬µ]", 1.0),
-    ("[ÂÃ][\u00a0»‘-”…]|â[€‚„†‡]", 1.0),
-    ("[×÷]", 1.0),
-    ("‚[ÄÀÃÂ]", 1.0),
-    ("(?<=[A-Za-zÀ-ɏ])[\u0530-\u1dff]|[\u0530-\u1dff](?=[A-Za-zÀ-ɏ])", 2.0),
-    ("(?<![\u2e80-\ud7ff])[\u2e80-\ud7ff](?![\u2e80-\ud7ff])", 3.5),
-    ("[\u2e80-\ud7ff]", 0.5),
-]]
-_ADJACENT = re.compile("(?=([À-ÖØ-öø-ÿŒœŠšŽžŸ]{2}))")
-_PAIRS = frozenset(_PAIR_OK.split())
-#: Russian letters by falling frequency (fixed values); the rarer, the dearer.
-_RARITY = {c: i / 64 for i, c in enumerate("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ")}
-_CYRILLIC = re.compile("[А-я]")
-_CAPITALS = re.compile("(?<=[А-ЯЁ])[А-ЯЁ]")
-#: Blanks and hyphens inside a word that a wrong encoding would make; clean texts keep theirs.
-_BLANKS = re.compile("(?<=[^\\W\\d_])[\u00a0\u00ad](?=[^\\W\\d_])")
+
+#: A pair in so large a share of the documents (as a power of 1/2) costs nothing, and one in so small a share the most.
+FREE_BITS, MOST_BITS = 5.0, 10.0
+#: Documents that a corpus is short of before its own counts are trusted.
+UNSEEN_DOCUMENTS = 1000
+#: A pair that costs more than this marks a word that may be garbled.
+RARE = 2.0
+#: Further cost of a pair that no clean text is known to hold, in a restored word.
+UNKNOWN_RESTORED = 2.0
+#: Cost by which the first repair of a text must lower it, and by which a further run may raise it.
+LEAST_DROP, MOST_RISE = 2.5, 2.5
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
+_CYRILLIC, _LATIN = re.compile("[Ѐ-ӿ]"), re.compile("[A-Za-z]")
+_ASCII = np.array([32 if chr(c).isspace() or c < 32 else 48 if chr(c).isdigit() else c for c in range(128)], np.uint32)
+_NO_BREAK, _ALONE = 0xA0, 1
+_PLAIN = {c: int(_ASCII[c]) for c in range(128)} | {_NO_BREAK: 32}
+#: A no-break blank inside a word that only a wrong encoding would make.
+_BLANKS = re.compile("(?<=[^\\W\\d_])[\u00a0\u00ad](?=[^\\W\\d_])")
+_SHIFT = 21
 
 
-@lru_cache(maxsize=100_000)
-def garbling_cost(text: str) -> float:
-    """How unlike clean text the characters of ``text`` are; 0 for ASCII."""
-    if text.isascii():
-        return 0.0
-    cost = sum(w * len(p.findall(text)) for p, w in _RULES)
-    cost += sum(pair not in _PAIRS for pair in _ADJACENT.findall(text))
-    cost += sum(_RARITY[c] for c in map(str.lower, _CYRILLIC.findall(text))) + 0.2 * len(_CAPITALS.findall(text))
-    return cost
+def _legacy_characters() -> frozenset[str]:
+    """What the Windows code pages of Europe and KOI8 can write: characters that clean text may hold though its corpus lacks them."""
+    pages = ["cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "cp1257", "cp1258", "koi8-u"]
+    return frozenset(c for p in pages for c in bytes(range(160, 256)).decode(p, "ignore") if c.isalpha())
+
+
+_LEGACY = _legacy_characters()
+
+
+def pair_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and code of each pair of neighbouring characters that holds a non-ASCII one; blanks (no-break ones too) are one character, digits too.
+
+    A text begins and ends with a blank.  All texts are coded at once.
+    """
+    data = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    data = np.where(data == _NO_BREAK, np.uint32(32), data)
+    at = np.flatnonzero(data > 127)
+    starts = np.union1d(at - 1, at)
+    left, right = data[starts], data[starts + 1]
+    left, right = (np.where(x < 128, _ASCII[np.minimum(x, 127)], x).astype(np.int64) for x in (left, right))
+    # A character between two blanks is a word of its own: its blanks count as another character.
+    alone = np.zeros(len(data) + 1, bool)
+    alone[at[(data[at - 1] < 33) & (data[at + 1] < 33)]] = True
+    left, right = np.where(alone[starts + 1], _ALONE, left), np.where(alone[starts], _ALONE, right)
+    # A pair that begins at the blank after a text belongs to the next one, unless its left side is the text's last character.
+    return np.searchsorted(ends, starts, side="right"), (left << _SHIFT) | right
+
+
+@lru_cache(maxsize=1)
+def utf8_pairs() -> np.ndarray:
+    """Sorted codes of the pairs that UTF-8 read as a one-byte encoding is made of: two bytes of a letter or sign, or the opening of a punctuation mark."""
+    out = set()
+    for encoding in UTF8_READ_AS[:7]:
+        char = {b: ord(c) for c, b in _encoder(encoding).items()}
+        for lead in range(0xC2, 0xE0):
+            for following in range(0x80, 0xC0):
+                meant = bytes([lead, following]).decode()
+                if meant in _LEGACY or 0xA0 <= ord(meant) < 0x100:
+                    out.add(_PLAIN.get(char[lead], char[lead]) << _SHIFT | _PLAIN.get(char[following], char[following]))
+        out.add(char[0xE2] << _SHIFT | char[0x80])
+    return np.array(sorted(out), np.int64)
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return known[place] == codes
+
+
+class PairModel:
+    """What pairs of characters cost: nothing if common in the corpus or in the sample sentences, the more the rarer."""
+
+    def __init__(self, counts: dict[int, int] | None = None, documents: int = 0) -> None:
+        self.counts, self.documents = counts or {}, documents
+        sentences = [v for line in SENTENCES.strip().split("\n") for v in (line, line.upper(), line.title())]
+        self.costs = {int(c): 0.0 for c in np.unique(pair_codes(sentences)[1])}
+        for code, n in self.counts.items():
+            bits = math.log2((documents + UNSEEN_DOCUMENTS) / n)
+            cost = min(max(bits, FREE_BITS), MOST_BITS) - FREE_BITS
+            self.costs[code] = min(cost, self.costs.get(code, cost))
+        self.known = {chr(c) for code in self.costs for c in (code >> _SHIFT, code & ((1 << _SHIFT) - 1)) if c > 127}
+        self.free = np.array(sorted({c for c, cost in self.costs.items() if cost <= RARE} - set(utf8_pairs().tolist())), np.int64)
+        self.cost = lru_cache(maxsize=100_000)(self._cost)
+        self.in_sight = lru_cache(maxsize=50_000)(self._in_sight)
+
+    def _odd(self, text: str) -> float:
+        """Cost of characters that neither clean texts nor European code pages hold; a lone letter of a foreign script costs twice as much."""
+        strange = [c if c > "\x7f" and c not in self.known and c not in _LEGACY else "" for c in text]
+        total = 0.0
+        for n, c in enumerate(strange):
+            if c:
+                code = ord(c)
+                if 0x2010 <= code < 0x27C0 or code >= 0x1F000 or 0xA0 <= code < 0xC0:
+                    total += 0.5
+                elif code < 0xA0 or 0xE000 <= code < 0xF900:
+                    total += 3.0
+                else:
+                    total += 4.0 if (n and strange[n - 1]) or (n + 1 < len(strange) and strange[n + 1]) else 8.0
+        return total
+
+    def _cost(self, text: str, restored: bool = False) -> float:
+        if text.isascii():
+            return 0.0
+        most = MOST_BITS - FREE_BITS
+        codes = [_PLAIN.get(c, c) for c in map(ord, text)]
+        if len(codes) == 3 and codes[0] == codes[2] == 32:
+            codes[0] = codes[2] = _ALONE
+        total, unknown = 0.0, 0
+        for a, b in zip(codes, codes[1:], strict=False):
+            if a > 127 or b > 127:
+                cost = self.costs.get((a << _SHIFT) | b, most)
+                total += cost
+                unknown += cost >= most
+        if restored:
+            total += unknown * UNKNOWN_RESTORED + most * len(_BLANKS.findall(text))
+        return total + self._odd(text)
+
+    def _in_sight(self, left: str, run: str, right: str) -> float:
+        """Cost of a repaired run in context, or that of one layer further if lower: an inner layer can look worse than the outer one."""
+        cost = self.cost(left + run + right)
+        if cost > 0 and not run.isascii():
+            further = (round_trip(run, e, "utf-8") for e in UTF8_READ_AS)
+            cost = min([cost, *(self.cost(left + f + right) + 0.5 for f in further if f is not None)])
+        return cost
+
+    def suspicious(self, texts: list[str]) -> np.ndarray:
+        """Which texts hold a pair that is not common: the others cost too little for any repair."""
+        out = np.zeros(len(texts), bool)
+        documents, codes = pair_codes(texts)
+        out[documents[~_among(codes, self.free)]] = True
+        return out
 
 
 @lru_cache(maxsize=64)
@@ -118,17 +197,18 @@ def round_trip(text: str, read_as: str, meant: str) -> str | None:
         return None
 
 
-@lru_cache(maxsize=100_000)
-def _cost_in_sight(left: str, run: str, right: str) -> float:
-    """Cost of a repaired run in context, or that of one layer further if lower: an inner layer can look worse than the outer one."""
-    cost = garbling_cost(left + run + right)
-    if cost > 0 and not run.isascii():
-        further = (round_trip(run, e, "utf-8") for e in UTF8_READ_AS)
-        cost = min([cost, *(garbling_cost(left + f + right) + 0.1 for f in further if f is not None)])
-    return cost
+@lru_cache(maxsize=1)
+def sample_model() -> PairModel:
+    """The model of the sample sentences alone."""
+    return PairModel()
+
+
+def garbling_cost(text: str, model: PairModel | None = None) -> float:
+    """How unlike clean text the characters of ``text`` are; 0 for ASCII."""
+    return (model or sample_model()).cost(f" {text} ")
 
 
-def repair_utf8(text: str, read_as: str) -> tuple[str, float]:
+def repair_utf8(text: str, read_as: str, model: PairModel) -> tuple[str, float]:
     """``text`` with its runs repaired that were UTF-8 read as ``read_as``, and by how much the cost dropped.
 
     Runs whose cost drops are the evidence.  With it, the other runs that
@@ -139,15 +219,15 @@ def repair_utf8(text: str, read_as: str) -> tuple[str, float]:
     for m in _RUN.finditer(text):
         fixed = round_trip(m.group(), read_as, "utf-8")
         if fixed is not None:
-            left, right = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
-            gain = garbling_cost(left + m.group() + right) - _cost_in_sight(left, fixed, right)
-            evidence += max(gain, 0.0)
+            left, right = text[m.start() - 1] if m.start() else " ", text[m.end()] if m.end() < len(text) else " "
+            gain = model.cost(left + m.group() + right) - model.in_sight(left, fixed, right)
+            evidence = max(evidence, gain)
             found.append((m.start(), m.end(), fixed, gain))
-    if evidence <= 0:
+    if evidence < LEAST_DROP:
         return text, 0.0
     out, at, drop = [], 0, 0.0
     for start, end, fixed, gain in found:
-        if gain > -1.0:
+        if gain > -MOST_RISE:
             out += [text[at:start], fixed]
             at, drop = end, drop + gain
     return "".join(out) + text[at:], drop
@@ -155,55 +235,65 @@ def repair_utf8(text: str, read_as: str) -> tuple[str, float]:
 
 def _price(between: str) -> float:
     """Price of changing state between two words, from the text that parts them."""
-    return 0.6 if "\n\n" in between else 0.9 if re.search(r"[.!?:;…][»”\"')]*\s|\n", between) else 2.5
+    return 3.5 if "\n\n" in between else 5.0 if re.search(r"[.!?:;…][»”\"')]*\s|\n", between) else 15.0
 
 
-def repair_swapped(text: str, read_as: str, meant: str) -> tuple[str, float]:
-    """``text`` with those stretches restored that were ``meant`` but read as ``read_as``, and by how much the cost dropped."""
-    words = list(_WORD.finditer(text))
-    if not words:
+def repair_swapped(text: str, read_as: str, meant: str, model: PairModel, rare: list[str]) -> tuple[str, float]:
+    """``text`` with those stretches restored that were ``meant`` but read as ``read_as``, and by how much the cost dropped.
+
+    ``rare``: the words with a rare pair.  Unless this round trip lowers the cost of one of them, no stretch can gain by it.
+    """
+    if not any((f := round_trip(w, read_as, meant)) is not None and model.cost(f" {f} ", True) < model.cost(f" {w} ") for w in rare):
         return text, 0.0
-    kept, swapped, paths, fixes = 0.0, 0.5, [], []
-    end, infinite = 0, float("inf")
+    words = list(_WORD.finditer(text))
+    kept, swapped, paths, fixes = 0.0, 2.5, [], []
+    infinite = float("inf")
     for n, m in enumerate(words):
         word = m.group()
         fixed = round_trip(word, read_as, meant)
-        price = 0.5 if n == 0 else _price(text[words[n - 1].end() - 2 : m.start() + 1])
-        to_kept, to_swapped = (swapped + price < kept), (kept + price < swapped)
-        if n == 0:
-            to_kept = to_swapped = False
+        price = _price(text[words[n - 1].end() - 2 : m.start() + 1]) if n else infinite
+        to_kept, to_swapped = swapped + price < kept, kept + price < swapped
         paths.append((to_kept, to_swapped))
-        kept, swapped = (swapped + price if to_kept else kept) + garbling_cost(word), (kept + price if to_swapped else swapped) + (infinite if fixed is None else garbling_cost(fixed) + len(_BLANKS.findall(fixed)))
+        kept, swapped = (
+            (swapped + price if to_kept else kept) + model.cost(f" {word} "),
+            (kept + price if to_swapped else swapped) + (infinite if fixed is None else model.cost(f" {fixed} ", True)),
+        )
         fixes.append(fixed)
-        end = m.end()
-    state = swapped + 0.5 < kept
-    before = sum(garbling_cost(m.group()) for m in words)
+    state = swapped + 2.5 < kept
     chosen = [False] * len(words)
     for n in range(len(words) - 1, -1, -1):
         chosen[n] = state
         state = (not paths[n][1]) if state else paths[n][0]
     if not any(chosen):
         return text, 0.0
-    out, at, after = [], 0, 0.0
+    out, at, drop = [], 0, 0.0
     for m, fixed, take in zip(words, fixes, chosen, strict=True):
         out += [text[at : m.start()], fixed if take else m.group()]
-        at, after = m.end(), after + garbling_cost(out[-1])
-    return "".join(out) + text[end:], before - after
+        at = m.end()
+        drop += model.cost(f" {m.group()} ") - model.cost(f" {out[-1]} ")
+    result = "".join(out) + text[at:]
+    # Of two round trips that do as well, the one that scatters no Cyrillic among Latin letters is the likelier.
+    cyrillic, latin = len(_CYRILLIC.findall(result)), len(_LATIN.findall(result))
+    return result, drop - (1.0 if 0 < cyrillic * 10 < latin else 0.0)
 
 
-def repair(text: str, layers: int = MAX_LAYERS) -> str:
-    """``text`` as it was before garbling, or unchanged if no round trip lowers the cost."""
-    for _ in range(layers):
-        if text.isascii():
-            break
+def repair(text: str, model: PairModel | None = None) -> str:
+    """``text`` as it was before garbling, or unchanged if no round trip lowers the cost.
+
+    Layer after layer without a bound: a layer of UTF-8 makes the text shorter,
+    and one of a legacy encoding lowers its cost at the same length, so it ends.
+    """
+    model = model or sample_model()
+    while not text.isascii():
         best, most = text, 0.0
         for read_as in UTF8_READ_AS:
-            fixed, drop = repair_utf8(text, read_as)
-            if drop > most:
+            fixed, drop = repair_utf8(text, read_as, model)
+            if drop > most and len(fixed) < len(text):
                 best, most = fixed, drop
         if best is text:
-            for read_as, meant in READ_AS_MEANT:
-                fixed, drop = repair_swapped(text, read_as, meant)
+            rare = [w for w in set(_WORD.findall(text)) if model.suspicious([w])[0]]
+            for read_as, meant in READ_AS_MEANT if rare else ():
+                fixed, drop = repair_swapped(text, read_as, meant, model, rare)
                 if drop > most and fixed != text:
                     best, most = fixed, drop
         if best is text:
@@ -212,27 +302,58 @@ def repair(text: str, layers: int = MAX_LAYERS) -> str:
     return text
 
 
+def corpus_model(texts: DataFrame, text: str = "text") -> PairModel:
+    """Costs from how many of all documents hold each pair; documents of ASCII alone do not count.
+
+    One pass over all texts, counted per partition before the shuffle.  Action:
+    collects the pairs that at least 1 in 2 ** MOST_BITS documents hold, so
+    their number is at most 2 ** MOST_BITS times the pairs of a mean document,
+    however large the corpus.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        garbled = utf8_pairs()
+        for batch in batches:
+            documents, codes = pair_codes(batch["text"].tolist())
+            kept = ~np.isin(documents, documents[_among(codes, garbled)])
+            documents, codes = documents[kept], codes[kept]
+            found, n = np.unique(np.unique(documents << (2 * _SHIFT) | codes) & ((1 << (2 * _SHIFT)) - 1), return_counts=True)
+            yield pd.DataFrame({"code": np.append(found, -1), "n": np.append(n, len(np.unique(documents)))})
+
+    counted = texts.select(F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(count, "code bigint, n bigint")
+    counted = cut_lineage(counted.groupBy("code").agg(F.sum("n").alias("n")))
+    total = counted.where("code = -1").select(F.sum("n")).first()[0] or 0
+    rows = counted.where((F.col("code") >= 0) & (F.col("n") * 2 ** int(MOST_BITS) >= total + UNSEEN_DOCUMENTS)).collect()
+    return PairModel({r["code"]: r["n"] for r in rows}, total)
+
+
 def restored_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, restored_text) for documents with garbled text; restored_text is NULL if characters were destroyed.
 
     A text with U+FFFD, before or after repair, has lost characters.  NULL,
     empty and clean texts give no row; repeated documents give repeated rows;
-    texts of any length are processed whole.  A JVM-side pattern drops texts
-    that hold nothing suspicious, so only a few per cent reach Python; no
-    shuffle.
+    texts of any length are processed whole.  Two passes without a shuffle of
+    texts: one counts pairs of characters, the other repairs the texts that
+    hold a rare one.  A text of common pairs alone costs nothing that a repair
+    could save, so the look at the pairs loses no text that would be repaired.
+
+    Action: the first pass (see ``corpus_model``).
     """
+    kept = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    fitted = corpus_model(kept)
+    counts, total = fitted.counts, fitted.documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = PairModel(counts, total)
         for batch in batches:
-            rows = []
-            for key, original in zip(batch["doc_id"], batch["text"], strict=True):
-                fixed = None if "�" in original else repair(original)
+            rows, texts = [], batch["text"].tolist()
+            for n in np.flatnonzero(model.suspicious(texts) | batch["text"].str.contains("�", regex=False).to_numpy(bool)):
+                original = texts[n]
+                fixed = None if "�" in original else repair(original, model)
                 if fixed is None or "�" in fixed:
-                    rows.append((key, None))
+                    rows.append((batch["doc_id"].iloc[n], None))
                 elif fixed != original:
-                    rows.append((key, fixed))
+                    rows.append((batch["doc_id"].iloc[n], fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "restored_text"])
 
-    kept = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(SUSPICIOUS))
     return kept.mapInPandas(run, f"doc_id {dict(kept.dtypes)['doc_id']}, restored_text string")
-
