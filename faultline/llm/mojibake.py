@@ -77,15 +77,14 @@ def pair_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     data = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    data = np.where(data == _NO_BREAK, np.uint32(32), data)
-    at = np.flatnonzero(data > 127)
-    starts = np.union1d(at - 1, at)
-    left, right = data[starts], data[starts + 1]
-    left, right = (np.where(x < 128, _ASCII[np.minimum(x, 127)], x).astype(np.int64) for x in (left, right))
+    special = (data > 127) & (data != _NO_BREAK)
+    starts = np.flatnonzero(special[:-1] | special[1:])
+    left, right = (np.where(x < 128, _ASCII[np.minimum(x, 127)], np.where(x == _NO_BREAK, 32, x)).astype(np.int64) for x in (data[starts], data[starts + 1]))
     # A character between two blanks is a word of its own: its blanks count as another character.
-    alone = np.zeros(len(data) + 1, bool)
-    alone[at[(data[at - 1] < 33) & (data[at + 1] < 33)]] = True
-    left, right = np.where(alone[starts + 1], _ALONE, left), np.where(alone[starts], _ALONE, right)
+    opens, closes = (left == 32) & special[starts + 1], (right == 32) & special[starts]
+    follows = np.append(starts[1:] == starts[:-1] + 1, False)
+    alone = opens & follows & np.append(closes[1:], False)
+    left, right = np.where(alone, _ALONE, left), np.where(np.append(False, alone[:-1]), _ALONE, right)
     # A pair that begins at the blank after a text belongs to the next one, unless its left side is the text's last character.
     return np.searchsorted(ends, starts, side="right"), (left << _SHIFT) | right
 
@@ -125,6 +124,7 @@ class PairModel:
         self.free = np.array(sorted({c for c, cost in self.costs.items() if cost <= RARE} - set(utf8_pairs().tolist())), np.int64)
         self.cost = lru_cache(maxsize=100_000)(self._cost)
         self.in_sight = lru_cache(maxsize=50_000)(self._in_sight)
+        self.swaps = lru_cache(maxsize=200_000)(self._swaps)
 
     def _odd(self, text: str) -> float:
         """Cost of characters that neither clean texts nor European code pages hold; a lone letter of a foreign script costs twice as much."""
@@ -166,6 +166,14 @@ class PairModel:
             cost = min([cost, *(self.cost(left + f + right) + 0.5 for f in further if f is not None)])
         return cost
 
+    def _swaps(self, word: str) -> tuple[int, ...]:
+        """The places in READ_AS_MEANT whose round trip lowers the cost of a word with a rare pair; none for other words."""
+        as_is = self.cost(f" {word} ")
+        if as_is <= RARE:
+            return ()
+        fixes = (round_trip(word, *swap) for swap in READ_AS_MEANT)
+        return tuple(n for n, fixed in enumerate(fixes) if fixed is not None and self.cost(f" {fixed} ", True) < as_is)
+
     def suspicious(self, texts: list[str]) -> np.ndarray:
         """Which texts hold a pair that is not common: the others cost too little for any repair."""
         out = np.zeros(len(texts), bool)
@@ -208,7 +216,13 @@ def garbling_cost(text: str, model: PairModel | None = None) -> float:
     return (model or sample_model()).cost(f" {text} ")
 
 
-def repair_utf8(text: str, read_as: str, model: PairModel) -> tuple[str, float]:
+@lru_cache(maxsize=200_000)
+def utf8_readings(run: str) -> dict[str, str]:
+    """Encoding -> what the run meant, for each encoding in which it is UTF-8 as a whole."""
+    return {e: fixed for e in UTF8_READ_AS if (fixed := round_trip(run, e, "utf-8")) is not None}
+
+
+def repair_utf8(text: str, read_as: str, model: PairModel, runs: list[tuple[int, int, dict[str, str]]]) -> tuple[str, float]:
     """``text`` with its runs repaired that were UTF-8 read as ``read_as``, and by how much the cost dropped.
 
     Runs whose cost drops are the evidence.  With it, the other runs that
@@ -216,13 +230,12 @@ def repair_utf8(text: str, read_as: str, model: PairModel) -> tuple[str, float]:
     characters look no worse than the right ones.
     """
     found, evidence = [], 0.0
-    for m in _RUN.finditer(text):
-        fixed = round_trip(m.group(), read_as, "utf-8")
-        if fixed is not None:
-            left, right = text[m.start() - 1] if m.start() else " ", text[m.end()] if m.end() < len(text) else " "
-            gain = model.cost(left + m.group() + right) - model.in_sight(left, fixed, right)
+    for start, end, readings in runs:
+        if (fixed := readings.get(read_as)) is not None:
+            left, right = text[start - 1] if start else " ", text[end] if end < len(text) else " "
+            gain = model.cost(left + text[start:end] + right) - model.in_sight(left, fixed, right)
             evidence = max(evidence, gain)
-            found.append((m.start(), m.end(), fixed, gain))
+            found.append((start, end, fixed, gain))
     if evidence < LEAST_DROP:
         return text, 0.0
     out, at, drop = [], 0, 0.0
@@ -238,13 +251,8 @@ def _price(between: str) -> float:
     return 3.5 if "\n\n" in between else 5.0 if re.search(r"[.!?:;…][»”\"')]*\s|\n", between) else 15.0
 
 
-def repair_swapped(text: str, read_as: str, meant: str, model: PairModel, rare: list[str]) -> tuple[str, float]:
-    """``text`` with those stretches restored that were ``meant`` but read as ``read_as``, and by how much the cost dropped.
-
-    ``rare``: the words with a rare pair.  Unless this round trip lowers the cost of one of them, no stretch can gain by it.
-    """
-    if not any((f := round_trip(w, read_as, meant)) is not None and model.cost(f" {f} ", True) < model.cost(f" {w} ") for w in rare):
-        return text, 0.0
+def repair_swapped(text: str, read_as: str, meant: str, model: PairModel) -> tuple[str, float]:
+    """``text`` with those stretches restored that were ``meant`` but read as ``read_as``, and by how much the cost dropped."""
     words = list(_WORD.finditer(text))
     kept, swapped, paths, fixes = 0.0, 2.5, [], []
     infinite = float("inf")
@@ -286,14 +294,17 @@ def repair(text: str, model: PairModel | None = None) -> str:
     model = model or sample_model()
     while not text.isascii():
         best, most = text, 0.0
-        for read_as in UTF8_READ_AS:
-            fixed, drop = repair_utf8(text, read_as, model)
+        runs = [(m.start(), m.end(), r) for m in _RUN.finditer(text) if (r := utf8_readings(m.group()))]
+        possible = {e for _, _, readings in runs for e in readings}
+        for read_as in (e for e in UTF8_READ_AS if e in possible):
+            fixed, drop = repair_utf8(text, read_as, model, runs)
             if drop > most and len(fixed) < len(text):
                 best, most = fixed, drop
         if best is text:
-            rare = [w for w in set(_WORD.findall(text)) if model.suspicious([w])[0]]
-            for read_as, meant in READ_AS_MEANT if rare else ():
-                fixed, drop = repair_swapped(text, read_as, meant, model, rare)
+            # A round trip that lowers the cost of no word with a rare pair is not tried.
+            promising = {swap for w in set(_WORD.findall(text)) for swap in model.swaps(w)}
+            for swap in sorted(promising):
+                fixed, drop = repair_swapped(text, *READ_AS_MEANT[swap], model)
                 if drop > most and fixed != text:
                     best, most = fixed, drop
         if best is text:
@@ -334,8 +345,8 @@ def restored_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     empty and clean texts give no row; repeated documents give repeated rows;
     texts of any length are processed whole.  Two passes without a shuffle of
     texts: one counts pairs of characters, the other repairs the texts that
-    hold a rare one.  A text of common pairs alone costs nothing that a repair
-    could save, so the look at the pairs loses no text that would be repaired.
+    hold a rare one or one that misread UTF-8 is made of.  A text of common
+    pairs alone is clean by definition: a repair could save next to nothing.
 
     Action: the first pass (see ``corpus_model``).
     """
