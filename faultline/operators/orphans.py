@@ -56,23 +56,22 @@ def key_code(key: Column) -> Column:
 
 
 def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per (table, range, period) bitmap of references: the codes left after AND-NOT with the parents that came in earlier periods."""
+    """Per key range and bitmap of references (table, period): the codes left after AND-NOT with the parents that came in earlier periods."""
     for batch in batches:
-        batch = batch.sort_values("span", kind="stable")
-        current, rows, codes, known = None, [], [], []
-        for n, (span, period, packed, parents) in enumerate(zip(batch["span"], batch["period"], batch["bitmap"], batch["parents"], strict=True)):
-            if span != current:
-                # The range's parent bitmaps laid over one another, earliest last: each code's first period.
-                current, first = span, np.full(RANGE_CODES, np.iinfo(np.int64).max)
-                for parent in sorted(parents if parents is not None else (), key=lambda p: -p["period"]):
-                    first[unpack_bits(parent["bitmap"])] = parent["period"]
-            left = np.flatnonzero(unpack_bits(packed) & ~(first < period))
-            rows.append(np.full(len(left), n))
-            codes.append(left)
-            known.append(first[left] < np.iinfo(np.int64).max)
-        if rows:
-            kept = batch.iloc[np.concatenate(rows)]
-            yield pd.DataFrame({"table_name": kept["table_name"], "span": kept["span"], "period": kept["period"], "code": np.concatenate(codes), "known": np.concatenate(known)})
+        heads, codes, known = [], [], []
+        for span, references, parents in zip(batch["span"], batch["refs"], batch["parents"], strict=True):
+            # The range's parent bitmaps laid over one another, earliest last: each code's first period.
+            first = np.full(RANGE_CODES, np.iinfo(np.int64).max)
+            for parent in sorted(parents if parents is not None else (), key=lambda p: -p["period"]):
+                first[unpack_bits(parent["bitmap"])] = parent["period"]
+            for r in references:
+                left = np.flatnonzero(unpack_bits(r["bitmap"]) & ~(first < r["period"]))
+                heads += [(r["table_name"], span, r["period"])] * len(left)
+                codes.append(left)
+                known.append(first[left] < np.iinfo(np.int64).max)
+        if heads:
+            out = pd.DataFrame(heads, columns=["table_name", "span", "period"])
+            yield out.assign(code=np.concatenate(codes), known=np.concatenate(known))
 
 
 def orphan_references(references: DataFrame, parents: DataFrame, period_format: str = "yyyy-MM") -> DataFrame:
@@ -107,13 +106,13 @@ def orphan_references(references: DataFrame, parents: DataFrame, period_format:
     refs = coded(references, F.col("table_name"), F.col("row_id"), F.date_format("exported_at", period_format).alias("label")).withColumn("period", day(F.col("us")))
     first = coded(parents).groupBy("span", "code").agg(F.min(F.coalesce("us", far)).alias("first_us"))
 
-    ref_maps = refs.groupBy("table_name", "span", "period").agg(F.collect_set("code").alias("codes")).select("table_name", "span", "period", _pack("codes").alias("bitmap"))
-    parent_maps = first.withColumn("period", day(F.col("first_us"))).groupBy("span", "period").agg(F.collect_set("code").alias("codes")).select("span", "period", _pack("codes").alias("bitmap"))
-    by_span = parent_maps.groupBy("span").agg(F.collect_list(F.struct("period", "bitmap")).alias("parents"))
+    # One row a range on each side: lists of bitmaps, at most one per table and period, so nothing is repeated in the join.
+    ref_maps = refs.groupBy("table_name", "span", "period").agg(F.collect_set("code").alias("codes")).select("span", F.struct("table_name", "period", _pack("codes").alias("bitmap")).alias("r"))
+    parent_maps = first.withColumn("period", day(F.col("first_us"))).groupBy("span", "period").agg(F.collect_set("code").alias("codes")).select("span", F.struct("period", _pack("codes").alias("bitmap")).alias("p"))
+    pairs = ref_maps.groupBy("span").agg(F.collect_list("r").alias("refs")).join(parent_maps.groupBy("span").agg(F.collect_list("p").alias("parents")), "span", "left")
     # Compressed bitmaps are so small that AQE would put all of them into one task; a stated number of partitions is kept.
     tasks = int(references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = ref_maps.join(by_span, "span", "left").select("table_name", "span", "period", "bitmap", "parents").repartition(tasks, "span", "period")
-    left = pairs.mapInPandas(_and_not, "table_name string, span string, period bigint, code int, known boolean")
+    left = pairs.repartition(tasks, "span").mapInPandas(_and_not, "table_name string, span string, period bigint, code int, known boolean")
 
     decoded = left.join(first, ["span", "code"], "left").select("table_name", "span", "code", "period", "known", "first_us")
     found = refs.join(decoded, ["table_name", "span", "code", "period"]).where(~F.col("known") | (F.col("first_us") > F.coalesce("us", far)))
