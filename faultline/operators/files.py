@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Path pattern (any case), module and the step it tends to fail in; the first match counts.
@@ -15,6 +15,7 @@ MODULE_RULES = [
     (r"ui\.config/", "ui.config", "securityTest"),
     (r"dispatcher", "dispatcher", "deploy"),
     (r"\.conf$", "dispatcher", "deploy"),
+    (r"rewrite-.*\.conf", "dispatcher", "deploy"),
     (r"pom\.xml$", "core", "build"),
     (r"package\.json$", "core", "build"),
     (r"securityTest", "security", "securityTest"),
@@ -30,6 +31,17 @@ def module_of_path(path: Column) -> tuple[Column, Column]:
     return module.otherwise("other"), step.otherwise("build")
 
 
+def changed_modules(paths: Column) -> Column:
+    """The distinct modules of an array of paths, sorted, without 'other'; empty for NULL."""
+    named = F.transform(paths, lambda p: module_of_path(p)[0])
+    return F.coalesce(F.sort_array(F.array_distinct(F.filter(named, lambda m: m.isNotNull() & (m != "other")))), F.array().cast("array<string>"))
+
+
+def module_steps(spark: SparkSession) -> DataFrame:
+    """(module, step): the steps each module tends to fail in, once each."""
+    return spark.createDataFrame(sorted({(m, s) for _, m, s in MODULE_RULES}), "module string, step string")
+
+
 def suffix(path: Column) -> Column:
     """Lower-case file suffix with its dot, '' without one."""
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
@@ -51,23 +63,26 @@ def without_bulk(changes: DataFrame, commit: str, most_files: int, message: str
     return kept.where(~F.coalesce(F.col(message).rlike(pattern), F.lit(False))) if message and pattern else kept
 
 
-def hot_files(changes: DataFrame, file: str, author: str, time: str, tie: str, least: int) -> DataFrame:
-    """Files changed at least ``least`` times: count, distinct authors, last change and who made it."""
+def hot_files(changes: DataFrame, file: str, author: str, time: str, tie: str, least: int, message: str | None = None) -> DataFrame:
+    """Files changed at least ``least`` times: count, distinct authors and their sorted list, last change, who made it, and its ``message`` if one is named."""
+    last = F.struct(time, tie)
     grouped = changes.groupBy(file).agg(
-        F.count("*").alias("n_changes"), F.count_distinct(author).alias("n_authors"), F.max(time).alias("last_change"), F.max_by(author, F.struct(time, tie)).alias("last_author")
+        F.count("*").alias("n_changes"), F.count_distinct(author).alias("n_authors"), F.sort_array(F.collect_set(author)).alias("authors"), F.max(time).alias("last_change"),
+        F.max_by(author, last).alias("last_author"), *([F.max_by(message, last).alias("last_message")] if message else []),
     )
     return grouped.where(F.col("n_changes") >= least)
 
 
-def author_ownership(changes: DataFrame, author: str, file: str, kind: str, time: str, top: int = 3) -> DataFrame:
-    """Per author: files touched, last active, and the ``top`` kinds as 'kind:n' by falling count, joined by commas.
+def author_ownership(changes: DataFrame, author: str, file: str, kind: str, time: str, top: int = 3, module: str | None = None) -> DataFrame:
+    """Per author: files touched, last active, the ``top`` kinds as 'kind:n' by falling count, joined by commas, and the sorted ``modules`` if one is named.
 
     Two levels of aggregates: the second one sees one row per author and kind.
     """
     per_kind = changes.groupBy(author, kind).agg(F.count("*").alias("n"))
     ranked = per_kind.withColumn("r", F.row_number().over(Window.partitionBy(author).orderBy(F.desc("n"), kind))).where(F.col("r") <= top)
     names = ranked.groupBy(author).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat_ws(":", F.col(kind), F.col("n")).alias("t")))), lambda x: x["t"]), ",").alias("top_kinds"))
-    files = changes.groupBy(author).agg(F.count_distinct(file).alias("n_files"), F.max(time).alias("last_active"))
+    modules = [F.sort_array(F.collect_set(module)).alias("modules")] if module else []
+    files = changes.groupBy(author).agg(F.count_distinct(file).alias("n_files"), F.max(time).alias("last_active"), *modules)
     return files.join(names, author)
 
 
@@ -83,20 +98,6 @@ def parse_change_log(lines: DataFrame, log: str, position: str, line: str, heade
     return filled.where(~is_header & F.col("header").isNotNull() & (F.trim(line) != ""))
 
 
-def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, keys: Sequence[str], cap: int) -> DataFrame:
-    """Per needle: in how many texts it occurs as a whole word, the least of their keys, and the count cut to ``cap``.
-
-    Texts are cut into words of ``[a-z0-9_.-]`` and joined on equality, not
-    compared with every needle, so a needle inside a longer word is not found;
-    ``reference_join`` finds those.  NULL and blank needles find nothing.
-    """
-    key = keys[0]
-    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_.\-]+"), F.lit(0)))).alias("_w"))
-    wanted = needles.select(F.col(needle), F.lower(needle).alias("_w")).where("_w <> ''").distinct()
-    hits = words.join(wanted, "_w").groupBy(needle).agg(F.count("*").alias("n_refs"), F.min(key).alias("first_ref"))
-    return hits.withColumn("capped_refs", F.least(F.col("n_refs"), F.lit(cap).cast("bigint")))
-
-
 def reference_join(texts: DataFrame, key: str, text: str, terms: DataFrame, owner: str, term: str, cap: int) -> DataFrame:
     """(owner, n_refs, refs): in how many texts any of an owner's terms occurs, case aside, and the first ``cap`` of their keys in order.
 

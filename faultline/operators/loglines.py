@@ -22,7 +22,9 @@ STEP_PATTERNS = {
     "codequality": ["FAILED", "Quality gate", "ERROR"],
 }
 CONTEXT_BEFORE, CONTEXT_AFTER, TAIL_SHARE = 4, 6, 0.85
+#: Secrets and keys of storage accounts.
 SECRET = r"(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*\S+"
+ACCOUNT_KEY = r"(?i)DefaultEndpointsProtocol=https;AccountKey=[^;]+"
 
 
 def lines_of_arrays(logs: DataFrame, log_id: str, lines: str) -> DataFrame:
@@ -38,6 +40,7 @@ def lines_of_texts(texts: DataFrame, log_id: str, text: str) -> DataFrame:
 
 def mask_line(line: Column) -> Column:
     """Numbers, then UUIDs, then hexadecimal numbers replaced by marks; a UUID group of digits alone is a number first."""
+    # Patterns and marks.
     out = F.regexp_replace(F.trim(line), r"\b[0-9]+\b", "<NUM>")
     out = F.regexp_replace(out, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>")
     return F.regexp_replace(out, r"(?i)0x[0-9a-f]+", "<HEX>")
@@ -49,8 +52,8 @@ def template_id(line: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Values of secrets replaced by ``***``."""
-    return F.regexp_replace(text, SECRET, "$1=***")
+    """Values of secrets, then keys of storage accounts, replaced by ``***``."""
+    return F.regexp_replace(F.regexp_replace(text, SECRET, "$1=***"), ACCOUNT_KEY, "AccountKey=***")
 
 
 def is_candidate_word(line: Column) -> Column:
@@ -196,6 +199,7 @@ def brace_sections(lines: DataFrame, opening: str, cap: int = 60, least: int = 5
 
 def log_class(step: Column, text: Column) -> Column:
     """Error type of a step's log text: the first pattern of the step that matches, else the step's default."""
+    # The patterns below.
     build = (
         F.when(text.rlike(r"Module not found: Error: Can't resolve '[^']+' in '[^']+'"), "missing_npm_module")
         .when(text.rlike(r"Failed to run task: '.+?' failed"), "npm_build_failed")
@@ -250,5 +254,6 @@ def diff_artifacts(texts: DataFrame, key: str, text: str) -> DataFrame:
 def env_references(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, name): distinct environment names a text refers to."""
     t = F.col(text)
-    patterns = [(r"PUBLISH_[A-Z0-9_]+", 0), (r"AUTHOR_[A-Z0-9_]+", 0), (r"variable ([A-Z][A-Z0-9]*_[A-Z0-9_]+)", 1), (r"\$\{([A-Z][A-Z0-9_]*)\}", 1)]
+    # The ways a name is referred to, and the group that holds it.
+    patterns = [(r"PUBLISH_[A-Z0-9_]+", 0), (r"AUTHOR_[A-Z0-9_]+", 0), (r"Config variables are not defined: (\S+)", 1), (r"\$\{([A-Z][A-Z0-9_]*)\}", 1), (r"os\.environ\[['\"]([A-Z][A-Z0-9_]*)['\"]\]", 1)]
     return texts.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(g)) for p, g in patterns])))).alias("name"))

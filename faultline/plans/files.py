@@ -11,7 +11,7 @@ from faultline.sources.tables import table
 
 QUERIES, SQL = {}, {}
 
-_LOG = """WITH changes AS (SELECT l_partkey AS file, l_orderkey AS commit, l_suppkey AS author, l_shipdate AS ts, l_returnflag AS kind FROM lineitem),
+_LOG = """WITH changes AS (SELECT l_partkey AS file, l_orderkey AS commit, l_suppkey AS author, l_shipdate AS ts, l_returnflag AS kind, l_linestatus AS message FROM lineitem),
 kept AS (SELECT * FROM changes ANTI JOIN (SELECT commit FROM changes GROUP BY commit HAVING count(*) > 6) USING (commit)) """
 
 
@@ -26,13 +26,14 @@ def query(sql: str | None = None):
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("author"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("kind"))
+    return table(spark, folder, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("author"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("message"))
 
 
-@query(_LOG + """SELECT file, count(*) AS n_changes, count(DISTINCT author) AS n_authors, max(ts) AS last_change, arg_max(author, (ts, author)) AS last_author
+@query(_LOG + """SELECT file, count(*) AS n_changes, count(DISTINCT author) AS n_authors, max(ts) AS last_change, arg_max(author, (ts, author, message)) AS last_author, arg_max(message, (ts, author, message)) AS last_message, array_to_string(list_sort(list(DISTINCT author)), ',') AS authors
 FROM kept GROUP BY file HAVING count(*) >= 25""")
 def hot_files(spark, folder):
-    return ops.hot_files(ops.without_bulk(_changes(spark, folder), "commit", 6), "file", "author", "ts", "author", 25)
+    changes = ops.without_bulk(_changes(spark, folder), "commit", 6).withColumn("tie", F.struct("author", "message"))
+    return ops.hot_files(changes, "file", "author", "ts", "tie", 25, "message").withColumn("authors", F.array_join("authors", ","))
 
 
 @query(_LOG + "SELECT file, commit, author, ts FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit DESC, author DESC) AS r FROM changes) WHERE r = 1")
@@ -44,9 +45,9 @@ def latest_per_file(spark, folder):
 @query(_LOG + """, k AS (SELECT author, kind, count(*) AS n FROM changes GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY n DESC, kind) AS r FROM k),
 t AS (SELECT author, string_agg(kind || ':' || n, ',' ORDER BY r) AS top_kinds FROM r WHERE r <= 2 GROUP BY author)
-SELECT author, n_files, last_active, top_kinds FROM (SELECT author, count(DISTINCT file) AS n_files, max(ts) AS last_active FROM changes GROUP BY author) JOIN t USING (author)""")
+SELECT author, n_files, last_active, top_kinds, modules FROM (SELECT author, count(DISTINCT file) AS n_files, max(ts) AS last_active, string_agg(DISTINCT message, ',' ORDER BY message) AS modules FROM changes GROUP BY author) JOIN t USING (author)""")
 def author_ownership(spark, folder):
-    return ops.author_ownership(_changes(spark, folder), "author", "file", "kind", "ts", top=2)
+    return ops.author_ownership(_changes(spark, folder), "author", "file", "kind", "ts", top=2, module="message").withColumn("modules", F.array_join("modules", ","))
 
 
 @query(_LOG + """SELECT coalesce(kind, 'all') AS kind, coalesce(CAST(year(ts) AS VARCHAR), 'all') AS year, count(*) AS n FROM changes
@@ -84,7 +85,8 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
     return exploded.select("log_id", F.col("e.file_path").alias("path"), F.col("e.line_no").alias("line_no")).where("path is not null")
 
 
-_MODULE = "CASE " + " ".join(f"WHEN regexp_matches(path, '(?i){p}') THEN '{m}'" for p, m, _ in ops.MODULE_RULES) + " ELSE 'other' END"
+_MODULE = r"""CASE WHEN regexp_matches(path, '(?i)ui\.frontend/') THEN 'ui.frontend' WHEN regexp_matches(path, '(?i)ui\.apps/') THEN 'ui.apps' WHEN regexp_matches(path, '(?i)ui\.content/') THEN 'ui.content'
+WHEN regexp_matches(path, '(?i)ui\.config/') THEN 'ui.config' WHEN regexp_matches(path, '(?i)dispatcher|\.conf$|rewrite-.*\.conf') THEN 'dispatcher' WHEN regexp_matches(path, '(?i)pom\.xml$|package\.json$') THEN 'core' WHEN contains(lower(path), 'securitytest') THEN 'security' ELSE 'other' END"""
 
 
 @query(_PATHS + f"SELECT {_MODULE} AS module, count(*) AS n FROM paths GROUP BY 1")
@@ -98,12 +100,29 @@ def path_parts(spark, folder):
     return paths.groupBy("suffix", "top").agg(F.count("*").alias("n"), F.count("line_no").alias("n_lines"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_.\-]+')) AS word FROM documents),
-n AS (SELECT DISTINCT split_part(program_name, ' ', 2) AS needle FROM programs)
-SELECT needle, count(*) AS n_refs, min(doc_id) AS first_ref, least(count(*), 20) AS capped_refs FROM w JOIN n ON word = lower(needle) WHERE needle <> '' GROUP BY needle""")
+@query(_PATHS + f"""SELECT log_id, array_to_string(list_sort(list(DISTINCT m)), ',') AS modules FROM (SELECT log_id, {_MODULE} AS m FROM paths) WHERE m <> 'other' GROUP BY log_id""")
+def modules_of_files(spark, folder):
+    """The sorted modules of each log's files."""
+    logs = table(spark, folder, "parsed_logs").select("log_id", F.transform("errors", lambda e: e["file_path"]).alias("paths"))
+    return logs.select("log_id", F.array_join(ops.changed_modules(F.col("paths")), ",").alias("modules")).where("modules <> ''")
+
+
+@query(_PATHS + f"""SELECT step, count(*) AS n FROM (SELECT {_MODULE} AS module FROM paths) JOIN (VALUES ('ui.frontend', 'build'), ('ui.apps', 'build'), ('ui.content', 'deploy'), ('ui.config', 'securityTest'),
+('dispatcher', 'deploy'), ('core', 'build'), ('security', 'securityTest')) AS d(module, step) USING (module) GROUP BY step""")
+def steps_of_modules(spark, folder):
+    """Files per step that their module tends to fail in."""
+    modules = _paths(spark, folder).select(ops.module_of_path(F.col("path"))[0].alias("module"))
+    return modules.join(ops.module_steps(spark), "module").groupBy("step").agg(F.count("*").alias("n"))
+
+
+@query(_PATHS + """, n AS (SELECT DISTINCT program_name, lower(unnest(string_split(program_name, ' '))) AS term FROM programs),
+h AS (SELECT DISTINCT program_name, path FROM paths JOIN n ON contains(lower(path), term) WHERE trim(term) <> '')
+SELECT program_name, count(*) AS n_refs, array_to_string(list(path ORDER BY path)[1:20], ',') AS refs FROM h GROUP BY program_name""")
 def contains_refs(spark, folder):
-    needles = table(spark, folder, "programs").select(F.split("program_name", " ")[1].alias("needle"))
-    return ops.contains_join(table(spark, folder, "documents"), "text", needles, "needle", ["doc_id"], 20)
+    """File paths that hold a fragment of a cause (here a word of a program's name), anywhere in the path: how many, and the first 20."""
+    terms = table(spark, folder, "programs").select("program_name", F.explode(F.split("program_name", " ")).alias("term"))
+    paths = _paths(spark, folder).select("path").distinct()
+    return ops.reference_join(paths, "path", "path", terms, "program_name", "term", 20).withColumn("refs", F.array_join("refs", ","))
 
 
 @query("""WITH n AS (SELECT DISTINCT program_name, lower(unnest(string_split(program_name, ' '))) AS term FROM programs),

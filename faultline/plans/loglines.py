@@ -14,11 +14,15 @@ from faultline.sources.tables import table
 
 QUERIES, SQL = {}, {}
 
-_LINES = "WITH l AS (SELECT log_id, CAST(generate_subscripts(key_lines, 1) - 1 AS BIGINT) AS line_no, unnest(key_lines) AS line FROM parsed_logs)"
+_LINES = "WITH l AS (SELECT log_id, regexp_replace(lower(step), '[^a-z0-9]', '', 'g') AS step, CAST(generate_subscripts(key_lines, 1) - 1 AS BIGINT) AS line_no, unnest(key_lines) AS line FROM parsed_logs)"
 _MASK = r"regexp_replace(regexp_replace(regexp_replace(trim(line), '\b[0-9]+\b', '<NUM>', 'g'), '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b', '<UUID>', 'g'), '(?i)0x[0-9a-f]+', '<HEX>', 'g')"
-_WORDS = " OR ".join(f"contains(lower(line), '{w}')" for w in ops.ERROR_WORDS)
 _STEP = "regexp_replace(lower(step), '[^a-z0-9]', '', 'g')"
-_FAIL = "(?i)" + "|".join(ops.FAILURE_PATTERNS)
+#: Written out on their own, not taken from the operators.
+_WORDS = r"""(regexp_matches(lower(line), 'fatal|panic|error|exit|kill|no such file|err:|failures:|exception|build failure|npm err!|compilation error|fail:')
+ OR coalesce(step = 'build' AND regexp_matches(line, '(?i)\[ERROR\]|BUILD FAILURE|Cannot find module|Module not found|npm ERR!|error TS[0-9]+'), false)
+ OR coalesce(step = 'securitytest' AND regexp_matches(line, '(?i)- Failed|WARN -|ERROR'), false) OR coalesce(step = 'deploy' AND regexp_matches(line, '(?i)ERROR|FAILED|Deployment failed'), false)
+ OR coalesce(step = 'loadtest' AND regexp_matches(line, '(?i)FAILED|ERROR|AssertionError'), false) OR coalesce(step = 'codequality' AND regexp_matches(line, '(?i)FAILED|Quality gate|ERROR'), false))"""
+_FAIL = "(?i)FAIL:|Failures:|BUILD FAILURE|npm ERR!"
 
 
 def _pipeline_sql(budget: int) -> str:
@@ -67,8 +71,13 @@ def _candidates_whole(spark: SparkSession, folder: str) -> DataFrame:
     return ops.candidates(lines, noise, step="step")
 
 
+def _candidates(spark: SparkSession, folder: str) -> DataFrame:
+    logs = table(spark, folder, "parsed_logs").select("log_id", F.regexp_replace(F.lower("step"), "[^a-z0-9]", "").alias("step"), F.posexplode("key_lines").alias("line_no", "line"))
+    return ops.candidates(logs, step="step")
+
+
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_last(ops.candidates(_lines(spark, folder)))
+    return _with_last(_candidates(spark, folder))
 
 
 def _with_last(chosen: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def template_ids(spark, folder):
     return _lines(spark, folder).where(F.trim("line") != "").groupBy(ops.template_id(F.col("line")).alias("template")).agg(F.count("*").alias("n"), F.count_distinct("log_id").alias("n_logs"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*\S+', '\1=***', 'g')) AS redacted_md5 FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*\S+', '\1=***', 'g'), '(?i)DefaultEndpointsProtocol=https;AccountKey=[^;]+', 'AccountKey=***', 'g')) AS redacted_md5 FROM documents WHERE text IS NOT NULL")
 def redact(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.md5(ops.redact(F.col("text"))).alias("redacted_md5"))
 
@@ -107,12 +116,12 @@ def key_lines(spark, folder):
 
 @query(_pipeline_sql(0) + "SELECT log_id, line_no, round(tail_score, 6) AS tail_score, candidate FROM c")
 def log_candidates(spark, folder):
-    return ops.candidates(_lines(spark, folder)).select("log_id", F.col("line_no").cast("bigint").alias("line_no"), F.round("tail_score", 6).alias("tail_score"), "candidate")
+    return _candidates(spark, folder).select("log_id", F.col("line_no").cast("bigint").alias("line_no"), F.round("tail_score", 6).alias("tail_score"), "candidate")
 
 
 @query()
 def log_candidates_whole(spark, folder):
-    """Candidates by error words, patterns of the step and tail, noise dropped; ``log_candidates`` knows the words and the tail alone, as its SQL."""
+    """Candidates by error words, patterns of the step and tail, noise of success templates dropped; ``log_candidates`` drops no noise."""
     return _candidates_whole(spark, folder).select("log_id", F.col("line_no").cast("bigint").alias("line_no"), F.round("tail_score", 6).alias("tail_score"), "candidate")
 
 
@@ -155,21 +164,11 @@ def source_window(spark, folder):
     return ops.source_window(lines, targets, 2).select("log_id", F.col("target").cast("bigint").alias("target"), F.md5("snippet").alias("snippet_md5"))
 
 
-@query(_LINES + r""", o AS (SELECT log_id, min(line_no) AS first_line FROM l WHERE regexp_matches(line, '^\{') GROUP BY 1),
-r AS (SELECT l.log_id, line_no, first_line, sum(len(regexp_extract_all(line, '[{\[(]')) - len(regexp_extract_all(line, '[}\])]'))) OVER (PARTITION BY l.log_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth
-FROM l JOIN o ON o.log_id = l.log_id AND line_no >= first_line AND line_no < first_line + 60)
-SELECT log_id, min(first_line) AS first_line, coalesce(min(line_no) FILTER (depth <= 0), max(line_no)) AS last_line FROM r GROUP BY log_id""")
-def brace_sections(spark, folder):
-    """As its SQL has it: round brackets count and a section may close at its first line; ``brace_sections_whole`` follows W14."""
-    found = ops.brace_sections(_lines(spark, folder), r"^\{", least=1, opens="{[(", closes="}])")
-    return found.select("log_id", *[F.col(c).cast("bigint").alias(c) for c in ("first_line", "last_line")])
-
-
 @query(_LINES + r""", o AS (SELECT log_id, min(line_no) AS first_line FROM l WHERE regexp_matches(line, '^\{') GROUP BY 1),
 r AS (SELECT l.log_id, line_no, first_line, sum(len(regexp_extract_all(line, '[{\[]')) - len(regexp_extract_all(line, '[}\]]'))) OVER (PARTITION BY l.log_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth
 FROM l JOIN o ON o.log_id = l.log_id AND line_no >= first_line AND line_no < first_line + 60)
 SELECT log_id, min(first_line) AS first_line, coalesce(min(line_no) FILTER (depth <= 0 AND line_no - first_line >= 4), max(line_no)) AS last_line FROM r GROUP BY log_id""")
-def brace_sections_whole(spark, folder):
+def brace_sections(spark, folder):
     """Sections of at least five lines, closed by curly and square brackets alone."""
     found = ops.brace_sections(_lines(spark, folder), r"^\{")
     return found.select("log_id", *[F.col(c).cast("bigint").alias(c) for c in ("first_line", "last_line")])
@@ -210,7 +209,7 @@ def diff_artifacts(spark, folder):
 
 
 @query(r"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'PUBLISH_[A-Z0-9_]+') || regexp_extract_all(text, 'AUTHOR_[A-Z0-9_]+')
-|| regexp_extract_all(text, 'variable ([A-Z][A-Z0-9]*_[A-Z0-9_]+)', 1) || regexp_extract_all(text, '\$\{([A-Z][A-Z0-9_]*)\}', 1)) AS name FROM documents WHERE text IS NOT NULL""")
+|| regexp_extract_all(text, 'Config variables are not defined: (\S+)', 1) || regexp_extract_all(text, '\$\{([A-Z][A-Z0-9_]*)\}', 1) || regexp_extract_all(text, 'os\.environ\[[''"]([A-Z][A-Z0-9_]*)[''"]\]', 1)) AS name FROM documents WHERE text IS NOT NULL""")
 def env_references(spark, folder):
     return ops.env_references(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
 
