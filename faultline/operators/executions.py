@@ -36,6 +36,17 @@ def clean_duration(value: Column) -> Column:
     return F.when(~F.isnan(minutes) & (minutes >= 0), minutes)
 
 
+def zone_stripped(value: Column) -> Column:
+    """A time with its zone name cut off and the rest read as UTC (a coarse reading; ``timenorm`` has the exact one); NULL if it is no time."""
+    bare = F.regexp_replace(value, r"\s*(PDT|PST|UTC|GMT)$", "")
+    return F.concat(bare, F.lit("Z")).try_cast("timestamp")
+
+
+def duration_minutes(start: Column, end: Column, running: Column, now: Column) -> Column:
+    """Minutes from start to end, for running ones to ``now``, with two decimals."""
+    return F.round((F.unix_micros(F.when(F.coalesce(running, F.lit(False)), now).otherwise(end)) - F.unix_micros(start)) / 60_000_000, 2)
+
+
 def executions(exported: DataFrame) -> DataFrame:
     """One row per execution id from its latest export: eid, program_id, pipeline_id, pipeline_name, status, duration, exported_at."""
     keyed = exported.withColumn("eid", whole_number_long(F.col("execution_id")))

@@ -47,6 +47,11 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
+def piped(text: Column) -> Column:
+    """The non-blank parts of a text between pipes, trimmed; NULL for NULL."""
+    return F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def top_level(path: Column) -> Column:
     """First component of a path."""
     return F.split(path, "/")[0]

@@ -135,6 +135,27 @@ def merge_routes(routes: Sequence[tuple[DataFrame, Sequence[Column]]], key: str,
     return ranked.where(F.col("rank") <= cap).select(key, F.col("route").cast("bigint").alias("route"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def scoped_route(rows: DataFrame, key: str, scope: str, order: Sequence[Column], asked: DataFrame, query: str, asked_scope: str, k: int) -> DataFrame:
+    """(query_id, key, rank): the first ``k`` rows of each query's scope.  The rows are cut per scope first, so a scope with a third of all rows is ``k`` rows in the join."""
+    best = rows.where(F.col(scope).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(scope).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
+    wanted = asked.select(F.col(query).alias("query_id"), F.col(asked_scope).alias("_scope"))
+    return best.select(key, F.col(scope).alias("_scope"), "rank").join(wanted, "_scope").select("query_id", key, "rank")
+
+
+def merge_per_query(routes: Sequence[DataFrame], query: str, key: str, cap: int) -> DataFrame:
+    """(query, key, route, rank): ranked lists of several routes fused per query, each key under its earliest route, at most ``cap`` a route.
+
+    Each route has query, key and rank; routes are top-k lists, so a query's group is small.
+    """
+    stacked = None
+    for number, rows in enumerate(routes):
+        part = rows.select(query, key, F.struct(F.lit(number).cast("bigint").alias("route"), F.col("rank").cast("bigint").alias("rank")).alias("p"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    kept = stacked.where(F.col(key).isNotNull()).groupBy(query, key).agg(F.min("p").alias("p"))
+    ranked = kept.select(query, key, F.col("p.route").alias("route"), F.row_number().over(Window.partitionBy(query, "p.route").orderBy("p.rank", key)).cast("bigint").alias("rank"))
+    return ranked.where(F.col("rank") <= cap)
+
+
 def first_truthy(*scores: Column) -> Column:
     """The first score that is neither NULL nor 0, else 0.0."""
     return F.coalesce(*[F.when((s != 0) & ~F.isnan(s.cast("double")), s.cast("double")) for s in scores], F.lit(0.0))

@@ -51,12 +51,6 @@ def incident_source(spark, folder):
     return table(spark, folder, "predictions").groupBy(retrieval.incident_source(F.col("execution_id")).alias("origin")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT log_id, coalesce(bool_or(regexp_matches(p, '(?i)\.(conf|cfg|ya?ml|properties|any|vhost)$')), false) AS config FROM (SELECT log_id, unnest(CASE WHEN len(errors) > 0 THEN list_transform(errors, lambda e: e.file_path) ELSE [NULL] END) AS p FROM parsed_logs) GROUP BY log_id""")
-def file_roles(spark, folder):
-    logs = table(spark, folder, "parsed_logs")
-    return logs.select("log_id", repo.file_roles(F.filter(F.transform("errors", lambda e: e["file_path"]), lambda p: p.isNotNull()))["config"].alias("config"))
-
-
 @query()
 def distinct_incidents(spark, folder):
     """BM25 hits of each query without near copies."""

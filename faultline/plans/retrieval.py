@@ -28,33 +28,39 @@ def query(sql: str | None = None):
     return register
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_./\-:]+') AS t FROM documents WHERE text IS NOT NULL),
+def bm25_sql(asked: str, k: int) -> str:
+    """Okapi scores of ``asked`` (query_id, query_text) against all documents, the best ``k``."""
+    return rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_./\-:]+') AS t FROM documents WHERE text IS NOT NULL),
 len AS (SELECT doc_id, len(t) AS dl FROM t), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
 post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL),
 idf AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, tot GROUP BY term, n),
 fl AS (SELECT avg(idf) * 0.25 AS floor FROM idf),
-q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(item_text), '[a-zA-Z0-9_./\-:]+')) AS term FROM eval_items WHERE item_id % 20 = 0) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[a-zA-Z0-9_./\-:]+')) AS term FROM ({asked})) GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(sum(qf * CASE WHEN idf < 0 THEN floor ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
 FROM q JOIN post USING (term) JOIN idf USING (term) JOIN len USING (doc_id), tot, fl GROUP BY ALL)
-SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""
+
+
+@query(bm25_sql("SELECT item_id AS query_id, item_text AS query_text FROM eval_items WHERE item_id % 20 = 0", 10))
 def bm25_topk(spark, folder):
     """Queries: every item whose id is divisible by 20, against all documents."""
     return ops.bm25_topk(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items").where("item_id % 20 = 0"), "item_id", "item_text", 10)
 
 
-_KNN = """SELECT query_id, rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+def knn_sql(condition: str, floor: str, k: int) -> str:
+    return f"""SELECT query_id, rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
 SELECT q.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0 {0}) {1}) WHERE rank <= 5"""
+FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0 {condition}) {floor}) WHERE rank <= {k}"""
 
 
-@query(_KNN.format("", ""))
+@query(knn_sql("", "", 5))
 def knn_topk(spark, folder):
     """Queries: every vector whose id is divisible by 20, against all vectors."""
     vectors = table(spark, folder, "embeddings")
     return ops.knn_topk(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"), 5)
 
 
-@query(_KNN.format("AND (b.label = 3 OR b.label = 7)", "WHERE similarity >= 0.1"))
+@query(knn_sql("AND (b.label = 3 OR b.label = 7)", "WHERE similarity >= 0.1", 5))
 def knn_filtered(spark, folder):
     """The same over the rows of two labels, with a floor."""
     vectors = table(spark, folder, "embeddings")
