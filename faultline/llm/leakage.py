@@ -32,8 +32,8 @@ K1, B = 1.5, 0.75
 TERM_WORDS = 2
 #: Items of one block of a posting list.
 BLOCK = 16
-#: Items of one index; more are searched index by index, each against all documents.
-ITEMS_PER_INDEX = 20_000
+#: Items of one index, and indexes searched in one pass over the documents.
+ITEMS_PER_INDEX, INDEXES_PER_PASS = 20_000, 5
 _EPSILON = 1e-6
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
@@ -207,21 +207,26 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     give no row; equal item texts are all reported; a repeated document is
     reported as often.  Documents of any length are read whole.
 
-    Action: reads the items (a held-out set, small by nature).  Beyond
-    ``ITEMS_PER_INDEX`` they are split into several indexes, each searched
-    with all documents, so nothing of unbounded size is sent to executors.
-    Documents are read once an index, without any shuffle.
+    Action: reads the items (a held-out set, small by nature) and builds each
+    index once, on the driver; indexes go to the executors as broadcasts of
+    bounded size, at most ``INDEXES_PER_PASS`` of ``ITEMS_PER_INDEX`` items in
+    one pass.  Documents are read and cut into words once a pass, so once for
+    up to 100,000 items, without any shuffle.
     """
     chosen = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     shards = max(1, -(-chosen.count() // ITEMS_PER_INDEX))
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     schema = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id bigint"
+    context = documents.sparkSession.sparkContext
     out = None
-    for shard in range(shards):
-        rows = sorted((r[0], r[1]) for r in chosen.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).collect())
-
-        def search(batches: Iterator[pd.DataFrame], rows: list[tuple[int, str]] = rows) -> Iterator[pd.DataFrame]:
-            indexes = build_indexes(rows, min_words)
+    for start in range(0, shards, INDEXES_PER_PASS):
+        shipped = []
+        for shard in range(start, min(start + INDEXES_PER_PASS, shards)):
+            rows = sorted((r[0], r[1]) for r in chosen.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).collect())
+            shipped.append(context.broadcast(build_indexes(rows, min_words)))
+
+        def search(batches: Iterator[pd.DataFrame], shipped: list = shipped) -> Iterator[pd.DataFrame]:
+            indexes = [index for held in shipped for index in held.value]
             for batch in batches:
                 hits = []
                 for key, t in zip(batch["doc_id"], batch["text"], strict=True):
