@@ -54,7 +54,7 @@ def parse_step_logs(logs: DataFrame, log_id: str, step: str, text: str) -> DataF
     """
     rows = logs.select(F.col(log_id).alias("log_id"), F.col(step).alias("step"), F.regexp_replace(F.col(text), "\r\n?", "\n").alias("t"))
     rows = rows.withColumn("raw", F.split(F.regexp_replace("t", "\n$", ""), "\n"))
-    rows = rows.withColumn("kept", F.filter(F.transform("raw", lambda x: F.trim(x)), lambda x: x != ""))
+    rows = rows.withColumn("kept", F.filter(F.transform("raw", lambda x: F.btrim(x, F.lit(" \t\r\v\f"))), lambda x: x != ""))
 
     t, kept = F.col("t"), F.col("kept")
     secure = rows.where("step = 'securitytest'").select("log_id", F.posexplode("raw").alias("line_no", "line"))
@@ -88,7 +88,7 @@ def parse_step_logs(logs: DataFrame, log_id: str, step: str, text: str) -> DataF
         some(_first(t, cover), _error("coverage_insufficient", F.concat(F.lit("Coverage "), _first(t, cover, 1), F.lit("% below required "), _first(t, cover, 2), F.lit("%")))),
     )
     is_step = lambda name: F.col("step").eqNullSafe(F.lit(name))
-    blank = t.isNull() | (F.trim(t) == "")
+    blank = t.isNull() | ~t.rlike(r"\S")
     rows = rows.withColumn(
         "errors",
         F.when(blank, F.lit(None)).when(is_step("securitytest"), F.slice(F.transform(checks, lambda c: _error("security_check_failed", c["check"], c["reason"])), 1, MOST_ERRORS))

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, work_folder
 
 TERM = r"[a-zA-Z0-9_./\-:]+"
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query vectors of one pass over the corpus.
-QUERY_BLOCK = 2048
+#: Query vectors that a task holds at once, and rows it compares them with.
+QUERY_BLOCK, ROWS_AT_ONCE = 1024, 20_000
 
 
 def terms(text: Column) -> Column:
@@ -53,50 +57,71 @@ def bm25_topk(documents: DataFrame, doc_id: str, text: str, queries: DataFrame,
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
-def knn_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, least: float = -1.0, block: int = QUERY_BLOCK) -> DataFrame:
+def _vector_blocks(path: str, block: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Keys and vectors of a Parquet folder in the shared folder, at most ``block`` rows at a time."""
+    system, root = fs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:"))
+    for entry in sorted(e.path for e in system.get_file_info(fs.FileSelector(root)) if e.path.endswith(".parquet")):
+        with system.open_input_file(entry) as file:
+            for batch in pq.ParquetFile(file).iter_batches(batch_size=block):
+                yield np.array(batch.column("key").to_pylist()), [np.asarray(v, np.float64) for v in batch.column("v").to_pylist()]
+
+
+def _by_size(keys: np.ndarray, vectors: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors of each dimension; zero vectors are dropped."""
+    sizes = np.array([len(v) for v in vectors])
+    for size in np.unique(sizes):
+        matrix = np.stack([v for v in vectors if len(v) == size]).astype(np.float64)
+        lengths = np.linalg.norm(matrix, axis=1)
+        whole = np.isfinite(lengths) & (lengths > 0)
+        if whole.any():
+            yield keys[sizes == size][whole], matrix[whole] / lengths[whole, None]
+
+
+def knn_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, least: float = -1.0, block: int = QUERY_BLOCK, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """(query_id, rank, key, similarity): the ``k`` nearest other rows of each query row by cosine, exactly.
 
-    NULL, empty and zero vectors are left out.  Similarities are rounded to 6
-    digits; those below ``least`` do not count; ties go to the smaller key.
+    NULL, empty and zero vectors are left out; only vectors of one dimension
+    are compared.  Similarities are rounded to 6 digits; those below ``least``
+    do not count; ties go to the smaller key.
 
-    Queries go out in blocks of at most ``block`` vectors, each against all
-    rows in one pass of matrix products over Arrow batches; a batch sends on at
-    most ``k`` rows a query.  Action: reads the query vectors block by block.
+    One pass over all rows whatever the number of queries: these are written
+    to the shared folder, never collected, and each task reads them ``block``
+    at a time against up to ``rows_at_once`` of its rows, so its memory is
+    bounded; it sends on at most ``k`` rows a query.  Action: that write.
     """
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v")).where(F.size("v") > 0)
-    asked = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v")).where(F.size("v") > 0)
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for number in range(blocks):
-        taken = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number).collect()
-        names = np.array([r[0] for r in taken])
-        matrix = np.array([r[1] for r in taken], dtype=np.float64)
-
-        def search(batches: Iterator[pd.DataFrame], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            lengths = np.linalg.norm(matrix, axis=1, keepdims=True) if len(matrix) else None
-            for batch in batches:
-                if batch.empty or not len(matrix):
+    prepared = lambda df: df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v")).where(F.col("key").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+    rows, path = prepared(vectors), work_folder(vectors.sparkSession, "queries")
+    prepared(queries).write.parquet(path)
+
+    def nearest(frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat(frames)
+        parts = {m.shape[1]: (names, m) for names, m in _by_size(held["key"].to_numpy(), held["v"].to_list())}
+        for names, asked in _vector_blocks(path, block):
+            for queried, matrix in _by_size(names, asked):
+                if matrix.shape[1] not in parts:
                     continue
-                same = batch[[len(v) == matrix.shape[1] for v in batch["v"]]]
-                if same.empty:
-                    continue
-                base = np.stack(same["v"].to_numpy()).astype(np.float64)
-                keys = same["key"].to_numpy()
-                norms = np.linalg.norm(base, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.round((matrix / lengths) @ (base / norms[:, None]).T, 6)
-                scores[~np.isfinite(scores)] = -np.inf
-                scores[names[:, None] == keys[None, :]] = -np.inf
-                # The k best of the batch, ties to the smaller key.
+                keys, base = parts[matrix.shape[1]]
+                scores = np.round(matrix @ base.T, 6)
+                scores[queried[:, None] == keys[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
                 best = np.take_along_axis(scores, order, axis=1)
                 q, c = np.nonzero(best >= max(least, -1.0))
-                yield pd.DataFrame({"query_id": names[q], "key": keys[order[q, c]], "similarity": best[q, c]})
+                yield pd.DataFrame({"query_id": queried[q], "key": keys[order[q, c]], "similarity": best[q, c]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames, n = [], 0
+        for batch in batches:
+            frames.append(batch)
+            n += len(batch)
+            if n >= rows_at_once:
+                yield from nearest(frames)
+                frames, n = [], 0
+        if n:
+            yield from nearest(frames)
 
-        kind = dict(rows.dtypes)["key"]
-        part = rows.mapInPandas(search, f"query_id {kind}, key {kind}, similarity double")
-        out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")))
+    kind = dict(rows.dtypes)["key"]
+    found = rows.mapInPandas(search, f"query_id {kind}, key {kind}, similarity double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.col("key").alias(key), "similarity")
 
 
@@ -206,19 +231,38 @@ def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 2)
     return rows.mapInPandas(project, f"{key} {dict(rows.dtypes)[key]}, pc array<double>")
 
 
-def distinct_incidents(hits: DataFrame, group: str, rank: str, step: str, text: str, most: float = 0.65) -> DataFrame:
-    """Hits without near copies: in rank order, one is dropped if a kept one of its step is too similar in its first 200 characters.
+def _kept_ranks(steps: list, causes: list, fixes: list, ranks: list, most: float, width: int | None) -> list[int]:
+    """Ranks that stay when, in rank order, each item too like a kept one is dropped."""
+    kept: list[tuple] = []
+
+    def alike(a: str, b: str) -> bool:
+        m = SequenceMatcher(None, a, b)
+        return (not a and not b) or (m.real_quick_ratio() > most and m.quick_ratio() > most and m.ratio() > most)
+
+    for rank, step, cause, fix in sorted(zip(ranks, steps, causes, fixes, strict=True)):
+        item = (step, (cause or "").lower()[:width], (fix or "").lower()[:width], rank)
+        if not any(k[0] == item[0] and alike(k[1], item[1]) and alike(k[2], item[2]) for k in kept):
+            kept.append(item)
+    return [k[3] for k in kept]
+
 
-    ``hits`` are short ranked lists (top-k results) per ``group``; each list is
-    one fold over an array, JVM-side.  Similarity is 1 - edit distance / length.
+def distinct_incidents(hits: DataFrame, group: str, rank: str, step: str, cause: str, fix: str, most: float = 0.65, width: int | None = 200) -> DataFrame:
+    """Hits without near copies: in rank order, one is dropped if a kept one has the same step and both its cause and its fix are too similar.
+
+    Similar is a match ratio over ``most`` of the lower-case texts, of which the
+    first ``width`` characters count (short fields; None compares whole texts).
+    Two empty texts are alike; NULL is empty; equal NULL steps are the same.
+    ``hits`` are short ranked lists (top-k results) per ``group``, so a list is
+    one row of a Pandas UDF.
     """
-    item = F.struct(F.col(rank).alias("r"), F.col(step).alias("s"), F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 200)).alias("t"))
-    listed = hits.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    similar = lambda a, b: (1 - F.levenshtein(a["t"], b["t"]) / F.greatest(F.length(a["t"]), F.length(b["t"]), F.lit(1))) > most
-    same = lambda a, b: a["s"].eqNullSafe(b["s"]) & similar(a, b)
-    empty = F.filter("items", lambda _: F.lit(False))
-    kept = F.aggregate("items", empty, lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    ranks = listed.select(group, F.explode(kept).alias("x")).select(group, F.col("x.r").alias(rank))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def kept(steps: pd.Series, causes: pd.Series, fixes: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([_kept_ranks(*map(list, x), most, width) for x in zip(steps, causes, fixes, ranks, strict=True)])
+
+    text = lambda c: F.collect_list(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    listed = hits.groupBy(group).agg(text(step).alias("s"), text(cause).alias("c"), text(fix).alias("f"), F.collect_list(F.col(rank).cast("bigint")).alias("r"))
+    ranks = listed.select(group, F.explode(kept("s", "c", "f", "r")).alias(rank))
     return hits.join(ranks, [group, rank], "left_semi")
 
 

@@ -53,10 +53,10 @@ def incident_source(spark, folder):
 
 @query()
 def distinct_incidents(spark, folder):
-    """BM25 hits of each query without near copies."""
-    texts = table(spark, folder, "documents").select("doc_id", "step", "text")
+    """BM25 hits of each query without near copies: same step, and both whole text and repository alike."""
+    texts = table(spark, folder, "documents").select("doc_id", "step", "text", "repo")
     hits = bm25_topk(spark, folder).join(texts, "doc_id")
-    return retrieval.distinct_incidents(hits, "query_id", "rank", "step", "text").select("query_id", "rank", "doc_id")
+    return retrieval.distinct_incidents(hits, "query_id", "rank", "step", "text", "repo", width=None).select("query_id", "rank", "doc_id")
 
 
 @query()

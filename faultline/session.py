@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,17 +39,37 @@ def build_session(app: str = "faultline", cores: int | str = "*", shuffle_partit
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder and read back.
+@lru_cache(maxsize=1)
+def _temporary_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="faultline-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    where that is unset and the master is local is a temporary folder used;
-    on a cluster without the setting this raises, since a machine-local folder
-    would not survive the loss of an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is local is a temporary folder
+    used, removed when the program ends; on a cluster without the setting this
+    raises, since a machine-local folder would not survive the loss of an
+    executor.
     """
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", ""):
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _temporary_folder()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder (see ``shared_folder``) and read back."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)

@@ -43,7 +43,8 @@ def read_failed_steps_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_share_names_csv(spark: SparkSession, path: str) -> DataFrame:
     """One non-blank share per execution id, the last in file order."""
-    rows = _csv(spark, path).withColumn("_pos", F.monotonically_increasing_id()).where(F.trim("shareName") != "")
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path).withColumn("_pos", place).where(F.trim("shareName") != "")
     keyed = rows.withColumn("execution_id", whole_number(F.col("executionId"))).where("execution_id is not null")
     return keyed.groupBy("execution_id").agg(F.max_by("shareName", "_pos").alias("share_name"))
 
@@ -79,25 +80,32 @@ def read_repository(spark: SparkSession, path: str, pattern: str = "*") -> DataF
     return rows.where(~F.col("path").rlike(r"/(?:\.git|node_modules|target)/"))
 
 
-def log_paths(step: Column) -> Column:
-    """Candidate log files of a step, the likelier first (fixed values)."""
+def log_paths(step: Column, execution_id: Column) -> Column:
+    """Candidate log files of a step, the likelier first (fixed values); the step in lower-case letters, case and signs aside."""
     plain = F.regexp_replace(F.lower(step), "[^a-z0-9]", "")
-    return F.when(plain == "build", F.array(F.lit("build.log"), F.lit("build/build.log"))).when(plain.isin("securitytest", "codequality", "loadtest", "deploy"), F.array(F.concat(plain, F.lit(".log")), F.concat(plain, F.lit("/output.log")))).otherwise(
-        F.array(F.lit("build.log"))
-    )
+    named = F.nullif(F.trim(execution_id), F.lit(""))
+    build = F.when(named.isNotNull(), F.array(F.concat(F.lit("build_debug_logs_"), named, F.lit("/build.log")), F.lit("build.log"))).otherwise(F.array(F.lit("build_debug_logs/build.log")))
+    return (
+        F.when(plain.isin("build", "codequality"), build).when(plain == "securitytest", F.array(F.lit("securityTests.log"))).when(plain == "deploy", F.array(F.lit("deploy/deploy.log")))
+        .when(plain == "loadtest", F.array(F.lit("load-test.log"))).otherwise(F.array(F.lit("build.log")))
+    )
+
+
+def cache_key(share: Column, path: Column) -> Column:
+    """The key a log is stored under: of its share and its path."""
+    return F.md5(F.concat_ws(":", share, path))
 
 
 def route_logs(wanted: DataFrame, logs: DataFrame) -> DataFrame:
-    """``wanted`` (share, step, ...) with the text of the first candidate log its share has; NULL if it has none.
+    """``wanted`` (row, share, step, execution_id) with file, cache_key and text of the first candidate log its share has; NULL if it has none.
 
-    ``logs``: share, file, text.  The texts join last, once the file is known.
+    ``logs``: share, file, text.  ``row`` is unique.  The texts join last, once the file is known.
     """
-    tried = wanted.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode(log_paths(F.col("step"))).alias("_try", "file"))
+    tried = wanted.select("row", "share", F.posexplode(log_paths(F.col("step"), F.col("execution_id"))).alias("_try", "file"))
     there = tried.join(logs.select("share", "file").distinct(), ["share", "file"], "left_semi")
-    first = there.groupBy("_row").agg(F.min_by(F.struct("share", "file"), "_try").alias("x")).select("_row", "x.*")
-    base = wanted.withColumn("_row", F.monotonically_increasing_id()).select("_row", *[F.col(c) for c in wanted.columns if c != "share"], F.col("share").alias("_share"))
-    found = first.join(logs, ["share", "file"]).select("_row", "file", "text")
-    return base.join(found, "_row", "left").withColumnRenamed("_share", "share").drop("_row")
+    first = there.groupBy("row").agg(F.min_by(F.struct("share", "file"), "_try").alias("x")).select("row", "x.*")
+    found = first.join(logs.select("share", "file", "text"), ["share", "file"]).select("row", "file", cache_key(F.col("share"), F.col("file")).alias("cache_key"), "text")
+    return wanted.join(found, "row", "left")
 
 
 STEP_STATES = "_embedded struct<stepStates: array<struct<action: string, status: string, commitId: string, details: struct<buildEnvironmentDetails: struct<gitCommitSha: string>>, logUrl: string>>>"

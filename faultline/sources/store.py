@@ -71,8 +71,24 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_markdown(rows: DataFrame, path: str, title: str) -> None:
-    """A Markdown table of a small report (it is collected; use ``write_json`` for data)."""
+def write_markdown(rows: DataFrame, path: str, title: str, most: int = 10_000) -> None:
+    """A Markdown table of a small report; more than ``most`` rows are an error (use ``write_json`` for data)."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
     head = f"# {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
-    body = "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect())
+    body = "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)
     rows.sparkSession.createDataFrame([(head + body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def info(spark: SparkSession, path: str, now: int) -> DataFrame:
+    """One row (n_rows, written_at, age) of the snapshot at ``path``; no row without one."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "n_rows bigint, written_at bigint, age bigint")
+    return spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.max("_written_at").alias("written_at")).withColumn("age", F.lit(now).cast("bigint") - F.col("written_at"))
+
+
+def clear(spark: SparkSession, path: str) -> bool:
+    """Delete the snapshot at ``path``; whether there was one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import work_folder
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet path as a stream with the schema it has now."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    """A Parquet folder, or a single file, as a stream with the schema it has now."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path + "*")
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
+def read_json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a folder as a stream; lines that are no JSON objects give NULLs."""
+    return spark.readStream.schema(schema).json(path)
 
 
 def trend(events: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(window_start, kind, n): events per tumbling window; those later than ``late`` are dropped and state is let go."""
+    """(window_start, kind, n): events per tumbling window.
+
+    In update and append mode, windows older than ``late`` are closed: their
+    state is let go and events for them are dropped.  (Complete mode keeps all.)
+    """
     timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
     return timed.groupBy(F.window("_t", width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
 
@@ -34,12 +52,31 @@ def once(events: DataFrame, key: str, time: str, late: str = "2 days") -> DataFr
     return events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark([key]).drop("_t")
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a small aggregate stream over all there is, to an in-memory table (``complete`` or ``append``)."""
-    name = "s" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over all there is into the shared folder and read it back.
+
+    With ``keys``, the last row of each key counts (update mode); without, all
+    rows do (append mode), or those of the last batch (complete mode).  Each
+    batch is written to its own folder, so a repeated batch replaces itself,
+    and nothing goes through the driver.
+    """
+    spark = stream.sparkSession
+    folder = work_folder(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    run_batches(stream, write, f"{folder}/state", mode)
+    try:
+        rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    except AnalysisException:
+        return spark.createDataFrame([], stream.schema)
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*").select(*stream.columns)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:

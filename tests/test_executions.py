@@ -55,7 +55,7 @@ def test_bulk_and_hot(spark, rows):
     df = spark.createDataFrame([(f, c, f"a{c % 2}", c, "bulk merge" if c == 4 else None) for c in range(5) for f in range(2 if c < 4 else 9)], "file int, commit int, author string, ts int, msg string")
     assert files.without_bulk(df, "commit", 3).count() == 8
     assert files.without_bulk(df, "commit", 99, "msg", "bulk").count() == 8
-    assert rows(files.hot_files(df, "file", "author", "ts", "author", 5)) == [(0, 5, 2, 4, "a0"), (1, 5, 2, 4, "a0")]
+    assert rows(files.hot_files(df, "file", "author", "ts", "author", 5, "msg")) == [(0, 5, 2, ["a0", "a1"], 4, "a0", "bulk merge"), (1, 5, 2, ["a0", "a1"], 4, "a0", "bulk merge")]
 
 
 def test_fill_down(spark, rows):

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -35,9 +36,11 @@ def test_trees_and_logs(spark, tmp_path, rows):
 
 
 def test_route_logs(spark, rows):
-    wanted = spark.createDataFrame([("s1", "build"), ("s2", "Load Test"), ("s3", None)], "share string, step string")
-    logs = spark.createDataFrame([("s1", "build/build.log", "second"), ("s1", "build.log", "first"), ("s2", "loadtest/output.log", "load")], "share string, file string, text string")
-    assert rows(exports.route_logs(wanted, logs).select("share", "file", "text")) == [("s1", "build.log", "first"), ("s2", "loadtest/output.log", "load"), ("s3", None, None)]
+    wanted = spark.createDataFrame([(1, "s1", "build", "7"), (2, "s1", "codeQuality", "8"), (3, "s2", "Load Test", None), (4, "s3", None, "9"), (5, "s1", "build", " ")], "row int, share string, step string, execution_id string")
+    logs = spark.createDataFrame([("s1", "build_debug_logs_7/build.log", "own"), ("s1", "build.log", "plain"), ("s2", "load-test.log", "load")], "share string, file string, text string")
+    found = exports.route_logs(wanted, logs)
+    assert rows(found.select("row", "file", "text")) == [(1, "build_debug_logs_7/build.log", "own"), (2, "build.log", "plain"), (3, "load-test.log", "load"), (4, None, None), (5, None, None)]
+    assert found.where("row = 2").first()["cache_key"] == hashlib.md5(b"s1:build.log").hexdigest()
 
 
 def test_step_states(spark, rows):
