@@ -100,18 +100,18 @@ u AS (SELECT *, CASE WHEN numeric THEN CAST(floor(number * CASE WHEN number < 1e
 WHEN zone = '' THEN epoch_us(timezone(zone_name, local)) + CAST(fraction AS BIGINT) ELSE epoch_us(local) + CAST(fraction AS BIGINT) - CAST(minutes * 60000000 AS BIGINT) END AS utc_micros FROM o) """
 
 
-def _values(*columns: tuple[str, str]) -> str:
+def instants_sql(*columns: tuple[str, str]) -> str:
     """The opening of a statement that reads the columns (table, column) as instants ``u.utc_micros``."""
     rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, '{c}' AS field_name, {c} AS raw, CAST(program_id AS VARCHAR) AS pid FROM {t}" for t, c in columns)
     return f"WITH {_ZONES} v AS ({rows}),\n{_INSTANTS}"
 
 
-_P1 = _values(("pipelines_list", "deploy_start_time"), ("pipelines_list", "search_time"), ("predictions", "predicted_at"))
+_P1 = instants_sql(("pipelines_list", "deploy_start_time"), ("pipelines_list", "search_time"), ("predictions", "predicted_at"))
 SQL = {
     "p1_found": _P1 + r"""SELECT table_name, row_id, field_name, utc_micros FROM u WHERE utc_micros IS NOT NULL AND NOT CASE field_name WHEN 'deploy_start_time' THEN regexp_full_match(raw, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3} PDT')
 WHEN 'search_time' THEN regexp_full_match(raw, '\d+\.\d{9}') ELSE regexp_full_match(raw, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00') END""",
     "p1_coverage": _P1 + "SELECT table_name, field_name, count(*) AS n_rows, count(raw) AS n_values, count(utc_micros) AS n_instants FROM u GROUP BY ALL",
-    "p2_found": _values(("pipelines_list", "deploy_start_time"), ("pipelines_list", "end_time")) + """, e AS (SELECT pipeline_id, s, e FROM (SELECT row_id, max(utc_micros) FILTER (field_name = 'deploy_start_time') AS s, max(utc_micros) FILTER (field_name = 'end_time') AS e FROM u GROUP BY row_id)
+    "p2_found": instants_sql(("pipelines_list", "deploy_start_time"), ("pipelines_list", "end_time")) + """, e AS (SELECT pipeline_id, s, e FROM (SELECT row_id, max(utc_micros) FILTER (field_name = 'deploy_start_time') AS s, max(utc_micros) FILTER (field_name = 'end_time') AS e FROM u GROUP BY row_id)
 JOIN pipelines_list USING (row_id) WHERE pipeline_id IS NOT NULL AND e >= s),
 n AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY pipeline_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM e),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY pipeline_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM n),
