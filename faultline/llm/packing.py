@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,18 @@ GROUP_TOKENS, GROUP_ROWS = 4_000_000, 20_000
 
 @lru_cache(maxsize=4)
 def encoding(path: str):
-    """The tokenizer of a rank file; loaded once a Python worker."""
+    """The tokenizer of a rank file, at its path or as shipped with the job; loaded once a Python worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding(os.path.basename(path), pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Rows (doc_id, n_tokens) for every document; NULL and empty texts have 0 tokens."""
+    """Rows (doc_id, n_tokens) for every document; NULL and empty texts have 0 tokens.  The rank file is shipped to executors that lack it."""
+    if os.path.exists(tokenizer):
+        documents.sparkSession.sparkContext.addFile(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(tokenizer).encode_ordinary
@@ -94,7 +97,9 @@ def pack_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     Action: counts the tokens in one pass and keeps (doc_id, n_tokens) in the
     checkpoint folder, since the number of groups depends on the total.
     Groups are drawn at random, piece by piece, so neither a huge document nor
-    many empty or repeated ones make a large group.
+    many empty or repeated ones make a large group (a hash of the id would put
+    all copies of one into the same).  The draw is seeded and made over the
+    kept sizes, so a repeated task draws the same.
     """
     sizes = cut_lineage(token_counts(documents, doc_id, text, tokenizer))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.lit(capacity))).cast("bigint")
