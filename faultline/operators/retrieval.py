@@ -186,21 +186,21 @@ def first_truthy(*scores: Column) -> Column:
     return F.coalesce(*[F.when((s != 0) & ~F.isnan(s.cast("double")), s.cast("double")) for s in scores], F.lit(0.0))
 
 
-def normalised_query(parts: Sequence[Column], most: float = 0.8) -> Column:
-    """Parts joined by blanks, leaving out each that is too similar (Jaccard of word sets) to one kept before."""
+def normalised_query(parts: Sequence[Column], most: float = 0.8, most_tokens: int = 3000) -> Column:
+    """Parts joined by blanks, leaving out each that is too similar (Jaccard of word sets) to one kept before, cut to about ``most_tokens`` tokens (four characters each)."""
     split = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     given = F.filter(F.array(*[F.trim(p) for p in parts]), lambda t: t.isNotNull() & (t != ""))
     step = lambda kept, t: F.when(F.exists(kept, lambda o: jaccard(split(o), split(t)) >= most), kept).otherwise(F.concat(kept, F.array(t)))
-    return F.array_join(F.aggregate(given, F.array().cast("array<string>"), step), " ")
+    return F.substring(F.array_join(F.aggregate(given, F.array().cast("array<string>"), step), " "), 1, 4 * most_tokens)
 
 
-def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
-    """(key, pc): centred projections on the first ``k`` principal axes.
+def principal_axes(vectors: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Mean, the first ``k`` principal axes (as columns) and the share of the variance each explains; None without rows.
 
     Action: one pass sums the vectors and their outer products (a matrix of
     dimension squared, whatever the number of rows).
     """
-    rows = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
+    rows = vectors.select(F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, outer = 0, None, None
@@ -211,21 +211,30 @@ def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 2)
         if n:
             yield pd.DataFrame({"n": [n], "total": [total.tolist()], "outer": [outer.ravel().tolist()]})
 
-    parts = rows.select("v").mapInPandas(moments, "n bigint, total array<double>, outer array<double>")
+    parts = rows.mapInPandas(moments, "n bigint, total array<double>, outer array<double>")
     sums = parts.select("n", F.posexplode(F.concat("total", "outer")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
     if not sums:
-        return rows.select(key, F.col("v").alias("pc")).limit(0)
+        return None
     size = int((np.sqrt(1 + 4 * len(sums)) - 1) / 2)
     values, n = np.array([r["x"] for r in sums]), sums[0]["n"]
     mean = values[:size] / n
-    covariance = values[size:].reshape(size, size) / n - np.outer(mean, mean)
-    _, axes = np.linalg.eigh(covariance)
+    variances, axes = np.linalg.eigh(values[size:].reshape(size, size) / n - np.outer(mean, mean))
     axes = axes[:, ::-1][:, :k]
-    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(k)] < 0, -1, 1)
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
+    total = variances.sum()
+    return mean, axes, variances[::-1][:k] / total if total > 0 else np.zeros(min(k, size))
+
+
+def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """(key, pc): centred projections on the first ``k`` principal axes (see ``principal_axes``); NULL and empty vectors are left out."""
+    rows = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
+    if (found := principal_axes(vectors, vector, k)) is None:
+        return rows.select(key, F.col("v").alias("pc")).limit(0)
+    mean, axes, _ = found
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, size))
+            x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, len(mean)))
             yield pd.DataFrame({key: batch[key], "pc": ((x - mean) @ axes).tolist()})
 
     return rows.mapInPandas(project, f"{key} {dict(rows.dtypes)[key]}, pc array<double>")
@@ -276,22 +285,41 @@ def sentences(text: Column, shortest: int = 20, most: int = 10) -> Column:
     return F.slice(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(s) > shortest), 1, most)
 
 
+def _held(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(x, y): texts ``x`` of ``inner`` that lie inside texts ``y`` of ``outer``; both distinct.
+
+    A text inside another shares every word that it holds with a non-letter on
+    both sides; pairs meet by the one of them that the fewest outer texts have,
+    so a common word brings none together.  Texts without such a word are
+    compared as they are.
+    """
+    words, whole = r"[A-Za-z]+", r"(?<=[^A-Za-z])[A-Za-z]+(?=[^A-Za-z])"
+    found = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    outer_words = outer.select("y", F.explode(found("y", words)).alias("w"))
+    counts = outer_words.groupBy("w").agg(F.count("*").alias("n"))
+    keyed = inner.select("x", F.explode(found("x", whole)).alias("w")).join(counts, "w", "left")
+    rarest = keyed.groupBy("x").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+    by_word = rarest.join(outer_words, "w").where(F.contains("y", "x")).select("x", "y")
+    plain = inner.where(F.size(found("x", whole)) == 0).join(outer, F.contains("y", "x")).select("x", "y")
+    return by_word.unionByName(plain)
+
+
 def noise_lines(lines: DataFrame, line: str, templates: DataFrame, template: str, shortest: int = 20) -> DataFrame:
-    """Lines that hold a template of more than ``shortest`` characters or lie inside one, once both are masked.
+    """Lines that equal a template, hold one of more than ``shortest`` characters, or lie inside one and are longer than that; both masked.
 
-    ``templates`` is a set of one pipeline's templates.  Lines and templates
-    meet by their rarest shared word, not each with each: a line can hold a
-    template only if it has all its words, and lie inside one only if that has
-    all of its own.
+    ``templates`` is a set of one pipeline's templates.  Distinct lines and
+    templates are compared (see ``_held``), exactly; lines then follow by an
+    equi-join.  NULL and empty lines and templates are no noise.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z]+"), F.lit(0)))
-    longest = lambda c: F.element_at(F.array_sort(words(c), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    patterns = templates.select(F.col(template).alias("_t")).where(F.length("_t") > shortest).distinct()
-    given = lines.withColumn("_l", F.col(line)).where(F.length("_l") > 0)
-    keyed = given.select("*", F.explode(words(F.col("_l"))).alias("_w"))
-    holds = keyed.join(patterns.select("_t", longest(F.col("_t")).alias("_w")), "_w").where(F.contains("_l", "_t"))
-    inside = given.select("*", longest(F.col("_l")).alias("_w")).join(patterns.select("_t", F.explode(words(F.col("_t"))).alias("_w")), "_w").where(F.contains("_t", "_l") & (F.length("_l") > shortest))
-    return holds.unionByName(inside).drop("_l", "_w", "_t").distinct()
+    kept = lines.where(F.length(line) > 0)
+    texts = kept.select(F.col(line).alias("t")).distinct()
+    known = templates.select(F.col(template).alias("k")).where(F.length("k") > 0).distinct()
+    long = lambda c: F.length(c) > shortest
+    equal = texts.join(known, F.col("t") == F.col("k"), "left_semi")
+    holds = _held(known.where(long("k")).select(F.col("k").alias("x")), texts.select(F.col("t").alias("y"))).select(F.col("y").alias("t"))
+    inside = _held(texts.where(long("t")).select(F.col("t").alias("x")), known.select(F.col("k").alias("y"))).select(F.col("x").alias("t"))
+    noise = equal.unionByName(holds).unionByName(inside).distinct().withColumnRenamed("t", "_noise")
+    return kept.join(noise, F.col(line) == F.col("_noise"), "left_semi")
 
 
 def template_noise(lines: DataFrame, line: str, templates: DataFrame, template: str, keys: Sequence[str], shortest: int = 20) -> DataFrame:

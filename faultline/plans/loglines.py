@@ -149,6 +149,15 @@ def pack_blocks(spark, folder):
     return ops.pack_blocks(ops.block_density(ops.line_weights(marked, ops.context_blocks(marked))), 60)
 
 
+@query(_pipeline_sql(0).replace("WITH l AS", "WITH RECURSIVE l AS", 1) + """, rk AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY density DESC, block_no) AS r FROM d),
+rec AS (SELECT log_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS block_no FROM rk WHERE r = 1
+UNION ALL SELECT rk.log_id, rk.r, CASE WHEN used + tokens <= 40 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 40 THEN rk.block_no END FROM rec JOIN rk ON rk.log_id = rec.log_id AND rk.r = rec.r + 1)
+SELECT log_id, block_no FROM rec WHERE block_no IS NOT NULL UNION ALL SELECT log_id, block_no FROM rk WHERE r = 1 AND log_id NOT IN (SELECT log_id FROM rec WHERE block_no IS NOT NULL)""")
+def packed_blocks(spark, folder):
+    """Blocks chosen under a budget of 40 tokens a log, around the candidates of ``log_candidates``."""
+    return ops.pack_blocks(ops.block_density(line_weights(spark, folder)), 40)
+
+
 @query(_LINES + r""", p AS (SELECT *, last_value(CASE WHEN contains(line, '[ERROR]') THEN line END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS cause FROM l)
 SELECT log_id, line_no, md5(cause) AS cause_md5 FROM p WHERE regexp_matches(line, 'Caused by')""")
 def preceding_error(spark, folder):

@@ -59,7 +59,13 @@ def distinct_incidents(spark, folder):
     return retrieval.distinct_incidents(hits, "query_id", "rank", "step", "text", "repo", width=None).select("query_id", "rank", "doc_id")
 
 
-@query()
+_MASKED = r"regexp_replace(regexp_replace(regexp_replace(trim({0}), '\b[0-9]+\b', '<NUM>', 'g'), '(?i)\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b', '<UUID>', 'g'), '(?i)0x[0-9a-f]+', '<HEX>', 'g')"
+
+
+@query(f"""WITH l AS (SELECT log_id, CAST(generate_subscripts(key_lines, 1) - 1 AS BIGINT) AS line_no, unnest(key_lines) AS line FROM parsed_logs), m AS (SELECT log_id, line_no, {_MASKED.format("line")} AS mask FROM l),
+t AS (SELECT DISTINCT {_MASKED.format("error_message")} AS k FROM parsed_logs), d AS (SELECT DISTINCT mask FROM m WHERE length(mask) > 0),
+n AS (SELECT mask FROM d WHERE EXISTS (SELECT 1 FROM t WHERE k = mask OR (length(k) > 20 AND contains(mask, k)) OR (length(mask) > 20 AND contains(k, mask))))
+SELECT log_id, line_no FROM m WHERE mask IN (SELECT mask FROM n)""")
 def noise_lines(spark, folder):
     """Masked log lines of failing steps that also occur, whole or in part, in summaries of other logs."""
     logs = table(spark, folder, "parsed_logs")

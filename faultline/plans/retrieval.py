@@ -82,6 +82,17 @@ def pca_2d(spark, folder):
     return ops.principal_components(table(spark, folder, "embeddings"), "vec_id", "embedding", 2)
 
 
+@query("SELECT 0.0 AS mean_1, 0.0 AS mean_2, 0.0 AS covariance, true AS in_order, true AS shares_fit")
+def pca_moments(spark, folder):
+    """What principal components must hold: centred, uncorrelated, the first the wider, and variances in the shares stated."""
+    vectors = table(spark, folder, "embeddings")
+    shares = ops.principal_axes(vectors, "embedding", 2)[2].tolist()
+    pc = ops.principal_components(vectors, "vec_id", "embedding", 2).select(F.col("pc")[0].alias("a"), F.col("pc")[1].alias("b"))
+    zero = lambda c: F.round(F.abs(c), 6)
+    ratio = F.abs(F.var_pop("b") / F.var_pop("a") - shares[1] / shares[0]) < 1e-6
+    return pc.agg(zero(F.avg("a")).alias("mean_1"), zero(F.avg("b")).alias("mean_2"), zero(F.covar_pop("a", "b")).alias("covariance"), (F.var_pop("a") >= F.var_pop("b")).alias("in_order"), ratio.alias("shares_fit"))
+
+
 @query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_id, round(CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) ELSE 0.0 END, 6) AS jaccard
 FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
@@ -107,9 +118,18 @@ def fallback_rank(spark, folder):
     return table(spark, folder, "predictions").select("row_id", ops.first_truthy(*scores).alias("score"))
 
 
-@query()
+def _near(a: int, b: int) -> str:
+    """Whether parts ``a`` and ``b`` are there and too similar."""
+    return f"coalesce(CASE WHEN len(t{a}) > 0 AND len(t{b}) > 0 THEN len(list_intersect(t{a}, t{b})) / len(list_distinct(t{a} || t{b})) ELSE 0.0 END >= 0.8, false)"
+
+
+@query(rf"""WITH p AS (SELECT log_id, nullif(trim(error_message), '') AS p1, nullif(trim(error_type), '') AS p2, nullif(trim(module), '') AS p3, nullif(trim(step), '') AS p4 FROM parsed_logs),
+w AS (SELECT *, {", ".join(f"list_distinct(regexp_extract_all(lower(p{i}), '[{chr(92)}p{{L}}{chr(92)}p{{N}}_]+')) AS t{i}" for i in range(1, 5))} FROM p),
+a AS (SELECT *, p1 IS NOT NULL AS k1, p2 IS NOT NULL AND NOT (p1 IS NOT NULL AND {_near(1, 2)}) AS k2 FROM w), b AS (SELECT *, p3 IS NOT NULL AND NOT (k1 AND {_near(1, 3)}) AND NOT (k2 AND {_near(2, 3)}) AS k3 FROM a),
+c AS (SELECT *, p4 IS NOT NULL AND NOT (k1 AND {_near(1, 4)}) AND NOT (k2 AND {_near(2, 4)}) AND NOT (k3 AND {_near(3, 4)}) AS k4 FROM b)
+SELECT log_id, concat_ws(' ', CASE WHEN k1 THEN p1 END, CASE WHEN k2 THEN p2 END, CASE WHEN k3 THEN p3 END, CASE WHEN k4 THEN p4 END)[1:12000] AS search_text FROM c""")
 def normalised_query(spark, folder):
-    """Search text of each parsed log: message, module and step, near-equal parts once."""
+    """Search text of each parsed log: message, type, module and step, near-equal parts once."""
     logs = table(spark, folder, "parsed_logs")
     return logs.select("log_id", ops.normalised_query([F.col("error_message"), F.col("error_type"), F.col("module"), F.col("step")]).alias("search_text"))
 
@@ -194,7 +214,8 @@ def revision_in_text(spark, folder):
     return table(spark, folder, "documents").where(F.col("text").rlike("revision r[0-9]+")).select("doc_id", F.regexp_extract("text", "revision r([0-9]+)", 1).alias("revision"))
 
 
-@query()
+@query(r"""SELECT mask, count(DISTINCT log_id) AS n_logs FROM (SELECT log_id, regexp_replace(regexp_replace(regexp_replace(trim(line), '\b[0-9]+\b', '<NUM>', 'g'), '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b', '<UUID>', 'g'), '(?i)0x[0-9a-f]+', '<HEX>', 'g') AS mask
+FROM (SELECT log_id, unnest(key_lines) AS line FROM parsed_logs) WHERE trim(line) <> '') GROUP BY mask HAVING count(DISTINCT log_id) > 1""")
 def hot_templates(spark, folder):
     """Line masks seen in more than one log, with how many of them."""
     lines = loglines.lines_of_arrays(table(spark, folder, "parsed_logs"), "log_id", "key_lines").where(F.trim("line") != "")
