@@ -91,7 +91,7 @@ def diff_packages(spark, folder):
     return repo.npm_changes(_parts(spark, folder), "k")
 
 
-@query(_PARTS + """SELECT k, '+' AS sign, max(regexp_extract(line, '<groupId>(.*)</groupId>', 1)) AS group_id, max(regexp_extract(line, '<artifactId>(.*)</artifactId>', 1)) AS artifact_id, max(regexp_extract(line, '<version>(.*)</version>', 1)) AS version, NULL AS scope FROM h WHERE file = 'pom.xml' GROUP BY k""")
+@query(_PARTS + """SELECT k, '+' AS sign, max(regexp_extract(line, '<groupId>(.*)</groupId>', 1)) AS group_id, max(regexp_extract(line, '<artifactId>(.*)</artifactId>', 1)) AS artifact_id, max(regexp_extract(line, '<version>(.*)</version>', 1)) AS version, CAST(NULL AS VARCHAR) AS scope FROM h WHERE file = 'pom.xml' GROUP BY k""")
 def diff_dependencies(spark, folder):
     return repo.maven_dependencies(_parts(spark, folder), "k", "part")
 

@@ -107,7 +107,45 @@ def instants_sql(*columns: tuple[str, str]) -> str:
 
 
 _P1 = instants_sql(("pipelines_list", "deploy_start_time"), ("pipelines_list", "search_time"), ("predictions", "predicted_at"))
+#: The heads of the programs in the tables, one pattern each, as [time, level or priority, component]; independent of the mined layouts.
+_LV = "(?i:fatal|critical|crit|alert|emergency|emerg|panic|error|err|severe|warning|warn|information|info|notice|debug|trace|verbose|finest|finer|fine)"
+_ISO = r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?"
+_HEADS = [
+    (rf"^\[({_LV})\]", None, 1, None),
+    (rf"^npm ({_LV})\b", None, 1, "'npm'"),
+    (rf"^({_LV}) ({_ISO}) \[([^\]]*)\]", 2, 1, 3),
+    (rf"^({_ISO}) - ([^ ]+) - ({_LV}) - ", 1, 3, 2),
+    (rf"^({_ISO}) \| ({_LV}) \| ([^ ]+) \|", 1, 2, 3),
+    (rf"^(\d\d\.\d\d\.\d{{4}} \d\d:\d\d:\d\d(?:[.,]\d+)?) \*({_LV})\* \[[^\]]*\] ([\w.$]+)", 1, 2, 3),
+    (rf"^({_ISO}) +({_LV}) \d+ --- \[[^\]]*\] ([\w.$]+) *:", 1, 2, 3),
+    (rf"^<(\d+)>\d+ ({_ISO}) [^ ]+ ([^ ]+) ", 2, 1, 3),
+    (rf"^([A-Z][a-z][a-z] +\d+ \d\d:\d\d:\d\d) [^ ]+ ([^ \[]+)\[\d+\]: ({_LV}):", 1, 3, 2),
+    (rf"^\[[A-Z][a-z][a-z] ([A-Z][a-z][a-z] +\d+ \d\d:\d\d:\d\d(?:\.\d+)? \d{{4}})\] \[([^:\]]+):({_LV})\]", 1, 3, 2),
+]
+
+
+def _head(pattern: str, *parts: int | str | None) -> str:
+    quoted = pattern.replace("'", "''")
+    picked = ", ".join("''" if p is None else p if isinstance(p, str) else f"regexp_extract(x, '{quoted}', {p})" for p in parts)
+    return f"WHEN regexp_matches(x, '{quoted}') THEN [{picked}]"
+
+
+_KEYED = rf"""WHEN starts_with(x, '{{') AND regexp_matches(x, '"(level|severity|lvl)"\s*:\s*"{_LV}"') THEN [regexp_extract(x, '"(?:ts|time|timestamp|@timestamp)"\s*:\s*"?([^",}}]+)', 1), regexp_extract(x, '"(?:level|severity|lvl)"\s*:\s*"({_LV})"', 1), regexp_extract(x, '"(?:logger|component|module)"\s*:\s*"([^"]*)"', 1)]
+WHEN regexp_matches(x, '^(ts|level|lvl|severity|component|time)=') AND regexp_matches(x, '(^| )(level|lvl|severity)={_LV}( |$)') THEN [regexp_extract(x, '(?:^| )(?:ts|time)=([^ ]+)', 1), regexp_extract(x, '(?:^| )(?:level|lvl|severity)=({_LV})(?: |$)', 1), regexp_extract(x, '(?:^| )(?:component|logger|module)=([^ ]+)', 1)]"""
+_P5 = rf"""WITH f AS (SELECT log_id, 'key_lines' AS field_name, key_lines AS a, exported_at FROM parsed_logs WHERE key_lines IS NOT NULL UNION ALL SELECT log_id, 'error_message', string_split(error_message, chr(10)), exported_at FROM parsed_logs WHERE error_message IS NOT NULL),
+l AS (SELECT log_id, field_name, exported_at, len(a) AS n, unnest(a) AS raw, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS pos FROM f),
+c AS (SELECT *, trim(regexp_replace(raw, '\x1b\[[0-9;?]*[A-Za-z]', '', 'g'), chr(32) || chr(9) || chr(13)) AS x FROM l),
+m AS (SELECT *, CASE {_KEYED} {" ".join(_head(*h) for h in _HEADS)} END AS h FROM c),
+e AS (SELECT log_id, field_name, pos AS start_pos, coalesce(lead(pos) OVER (PARTITION BY log_id, field_name ORDER BY pos), n) - pos AS n_lines, h[1] AS clock, lower(h[2]) AS lv, h[3] AS component, exported_at FROM m WHERE h IS NOT NULL),
+t AS (SELECT *, CASE WHEN clock = '' THEN -1 WHEN regexp_matches(clock, '^\d{{10}}') THEN CAST(left(clock, 10) AS BIGINT)
+WHEN regexp_matches(clock, '^\d{{4}}-') THEN epoch(try_strptime(replace(left(clock, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')) - CASE WHEN regexp_matches(clock, '[+-]\d\d:?\d\d$') THEN (CAST(replace(regexp_extract(clock, '([+-]\d\d):?(\d\d)$', 1), '+', '') AS INT) * 3600 + CASE WHEN regexp_matches(clock, '-\d\d:?\d\d$') THEN -1 ELSE 1 END * CAST(right(clock, 2) AS INT) * 60) ELSE 0 END
+WHEN regexp_matches(clock, '^\d\d\.') THEN epoch(try_strptime(left(clock, 19), '%d.%m.%Y %H:%M:%S')) WHEN regexp_matches(clock, '\d{{4}}$') THEN epoch(try_strptime(regexp_replace(regexp_replace(clock, '\.\d+', ''), ' +', ' ', 'g'), '%b %d %H:%M:%S %Y'))
+ELSE (SELECT max(epoch(d)) FROM (SELECT try_strptime(regexp_replace(clock, ' +', ' ', 'g') || ' ' || y, '%b %d %H:%M:%S %Y') AS d FROM (SELECT unnest(range(year(exported_at) - 8, year(exported_at) + 1)) AS y)) WHERE d <= exported_at) END AS s FROM e)
+SELECT log_id, field_name, start_pos, n_lines, CAST(coalesce(s, -1) AS BIGINT) AS utc_seconds, CASE WHEN regexp_matches(lv, '^\d+$') THEN ['FATAL', 'FATAL', 'FATAL', 'ERROR', 'WARN', 'INFO', 'INFO', 'DEBUG'][CAST(lv AS INT) % 8 + 1] WHEN lv IN ('error', 'err', 'severe') THEN 'ERROR' WHEN starts_with(lv, 'warn') THEN 'WARN' WHEN lv IN ('info', 'information', 'notice') THEN 'INFO'
+WHEN lv IN ('debug', 'trace', 'verbose', 'fine', 'finer', 'finest') THEN 'DEBUG' ELSE 'FATAL' END AS severity, component FROM t """
 SQL = {
+    "p5_found": _P5,
+    "p5_components": f"SELECT component, severity, count(*) AS n_entries FROM ({_P5}) GROUP BY ALL",
     "p1_found": _P1 + r"""SELECT table_name, row_id, field_name, utc_micros FROM u WHERE utc_micros IS NOT NULL AND NOT CASE field_name WHEN 'deploy_start_time' THEN regexp_full_match(raw, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3} PDT')
 WHEN 'search_time' THEN regexp_full_match(raw, '\d+\.\d{9}') ELSE regexp_full_match(raw, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00') END""",
     "p1_coverage": _P1 + "SELECT table_name, field_name, count(*) AS n_rows, count(raw) AS n_values, count(utc_micros) AS n_instants FROM u GROUP BY ALL",

@@ -142,7 +142,7 @@ def report_sinks(spark, folder):
 _STATES = """'{"_embedded": {"stepStates": [{"action": "validate", "status": "FINISHED", "commitId": ""}, {"action": "build", "details": {"buildEnvironmentDetails": {"gitCommitSha": "c' || (s_suppkey % 9) || '"}}, "logUrl": "u' || s_suppkey || '"}, {"action": "build", "commitId": "later", "logUrl": "v"}]}}'"""
 
 
-@query("SELECT s_suppkey AS k, 'c' || (s_suppkey % 9) AS commit, 'u' || s_suppkey AS log_url, 3 AS n_states FROM supplier")
+@query("SELECT s_suppkey AS k, 'c' || (s_suppkey % 9) AS commit, 'u' || s_suppkey AS log_url, CAST(3 AS BIGINT) AS n_states FROM supplier")
 def execution_states(spark, folder):
     """States nested in execution records: how many, the first commit, and the log of the first build."""
     payloads = table(spark, folder, "supplier").selectExpr("s_suppkey AS k", f"{_STATES} AS payload")

@@ -82,7 +82,7 @@ def pca_2d(spark, folder):
     return ops.principal_components(table(spark, folder, "embeddings"), "vec_id", "embedding", 2)
 
 
-@query("SELECT 0.0 AS mean_1, 0.0 AS mean_2, 0.0 AS covariance, true AS in_order, true AS shares_fit")
+@query("SELECT CAST(0 AS DOUBLE) AS mean_1, CAST(0 AS DOUBLE) AS mean_2, CAST(0 AS DOUBLE) AS covariance, true AS in_order, true AS shares_fit")
 def pca_moments(spark, folder):
     """What principal components must hold: centred, uncorrelated, the first the wider, and variances in the shares stated."""
     vectors = table(spark, folder, "embeddings")
