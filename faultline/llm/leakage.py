@@ -14,7 +14,6 @@ overlap such that every window lies in one of them.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
@@ -44,14 +43,18 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 
 
-#: Splits as ``_WORD`` does, and faster, where no character is a mark or a number other than a digit.
+#: Splits as ``_WORD`` does, and faster, where no character is one that the two take differently, such as marks.
 _PLAIN_WORD = re.compile(r"[^\W_]+")
 
 
+_LATER = "\u3000"
+
+
 @lru_cache(maxsize=1)
 def _unusual() -> frozenset[str]:
-    """Marks and numbers that are no digits."""
-    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc", "Me", "No", "Nl"))
+    """The characters before ``_LATER`` that only one of the two patterns takes for a part of a word."""
+    every = " ".join(map(chr, range(0x80, ord(_LATER))))
+    return frozenset(_PLAIN_WORD.findall(every)) ^ frozenset(_WORD.findall(every))
 
 
 def words(text: str) -> list[str]:
@@ -59,7 +62,8 @@ def words(text: str) -> list[str]:
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
     text = text.casefold()
-    return (_PLAIN_WORD if text.isascii() or _unusual().isdisjoint(set(text)) else _WORD).findall(text)
+    plain = text.isascii() or (max(characters := set(text)) < _LATER and _unusual().isdisjoint(characters))
+    return (_PLAIN_WORD if plain else _WORD).findall(text)
 
 
 class Postings:

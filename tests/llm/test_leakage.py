@@ -70,3 +70,17 @@ def test_search_is_exact_scoring():
             for i, w in zip(p.items, p.impacts, strict=True):
                 scores[i] = scores.get(i, 0) + w
         assert sorted(index.above(terms)) == sorted(i for i, s in scores.items() if s >= 1 - 1e-6)
+
+
+def test_plain_split_equals_the_full_one():
+    import random
+    import unicodedata
+
+    from faultline.llm import leakage
+
+    r = random.Random(1)
+    spans = [(32, 127), (0xA0, 0x600), (0x600, 0x1200), (0x2000, 0x2200), (0x3040, 0x3100), (0xE000, 0x2FFFF)]
+    for _ in range(3000):
+        text = "".join(chr(r.randrange(*r.choice(spans))) for _ in range(12))
+        plain = text if text.isascii() else leakage._INVISIBLE.sub("", unicodedata.normalize("NFKC", leakage._INVISIBLE.sub("", text)))
+        assert leakage.words(text) == leakage._WORD.findall(plain.casefold())
