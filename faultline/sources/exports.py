@@ -100,12 +100,15 @@ def route_logs(wanted: DataFrame, logs: DataFrame) -> DataFrame:
     """``wanted`` (row, share, step, execution_id) with file, cache_key and text of the first candidate log its share has; NULL if it has none.
 
     ``logs``: share, file, text.  ``row`` is unique.  The texts join last, once the file is known.
+
+    All joins merge: sizes are estimated without the rows that exploding adds, so
+    sides that grow with the input would be taken for small and broadcast.
     """
     tried = wanted.select("row", "share", F.posexplode(log_paths(F.col("step"), F.col("execution_id"))).alias("_try", "file"))
-    there = tried.join(logs.select("share", "file").distinct(), ["share", "file"], "left_semi")
+    there = tried.join(logs.select("share", "file").distinct().hint("merge"), ["share", "file"], "left_semi")
     first = there.groupBy("row").agg(F.min_by(F.struct("share", "file"), "_try").alias("x")).select("row", "x.*")
-    found = first.join(logs.select("share", "file", "text"), ["share", "file"]).select("row", "file", cache_key(F.col("share"), F.col("file")).alias("cache_key"), "text")
-    return wanted.join(found, "row", "left")
+    found = first.join(logs.select("share", "file", "text").hint("merge"), ["share", "file"]).select("row", "file", cache_key(F.col("share"), F.col("file")).alias("cache_key"), "text")
+    return wanted.join(found.hint("merge"), "row", "left")
 
 
 STEP_STATES = "_embedded struct<stepStates: array<struct<action: string, status: string, commitId: string, details: struct<buildEnvironmentDetails: struct<gitCommitSha: string>>, logUrl: string>>>"

@@ -43,6 +43,14 @@ def test_route_logs(spark, rows):
     assert found.where("row = 2").first()["cache_key"] == hashlib.md5(b"s1:build.log").hexdigest()
 
 
+def test_route_logs_broadcasts_nothing(spark):
+    wanted = spark.range(20).selectExpr("id AS row", "concat('s', id) AS share", "'build' AS step", "CAST(id AS STRING) AS execution_id")
+    logs = wanted.selectExpr("share", "explode(array('build.log', 'load-test.log')) AS file", "'x' AS text")
+    found = exports.route_logs(wanted, logs)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("file = 'build.log' and text = 'x'").count() == 20
+
+
 def test_step_states(spark, rows):
     payload = json.dumps({"_embedded": {"stepStates": [{"action": "validate", "commitId": ""}, {"action": "build", "details": {"buildEnvironmentDetails": {"gitCommitSha": "abc"}}, "logUrl": "u"}, {"action": "build", "commitId": "def", "logUrl": "v"}]}})
     states = exports.step_states(spark.createDataFrame([(1, payload), (2, "{bad"), (3, None)], "id int, p string"), "id", "p")
