@@ -26,14 +26,24 @@ def query(sql: str | None = None):
 _KEY = r"nullif(regexp_extract(execution_id, '^\s*0*([0-9]+?)(?:\.0)?\s*$', 1), '')"
 
 
+#: Unicode's space separators, which trim of the SQL drops, and no other white space.
+_SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def _hundredths(value):
+    """``value`` rounded to two places as the SQL does: the product by 100, half away from zero; ``round`` takes the decimal digits instead (1.005)."""
+    scaled = value * 100
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 100).otherwise(value)
+
+
 @query("SELECT trim(execution_id) AS execution_id, program_id, pipeline_id, round(duration_min, 2) AS duration_min, count(*) AS n FROM pipelines_list WHERE trim(execution_id) <> '' GROUP BY ALL")
 def csv_executions(spark, folder):
     """Executions written as the CSV export and read back with types."""
     path = work_folder(spark, "csv")
     names = {"program_id": "programId", "pipeline_id": "pipelineId", "execution_id": "Execution", "duration_min": " Duration (Min)", "status": "Status"}
-    table(spark, folder, "pipelines_list").select(*[F.col(c).alias(h) for c, h in names.items()], F.lit("x").alias("Program")).write.option("header", True).csv(path)
-    rows = exports.read_executions_csv(spark, path).withColumn("execution_id", F.trim("execution_id")).where("execution_id <> ''")
-    return rows.groupBy("execution_id", "program_id", "pipeline_id", F.round("duration_min", 2).alias("duration_min")).agg(F.count("*").alias("n"))
+    table(spark, folder, "pipelines_list").select(*[F.col(c).alias(h) for c, h in names.items()], F.lit("x").alias("Program")).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = exports.read_executions_csv(spark, path).withColumn("execution_id", F.btrim("execution_id", F.lit(_SPACES))).where("execution_id <> ''")
+    return rows.groupBy("execution_id", "program_id", "pipeline_id", _hundredths(F.col("duration_min")).alias("duration_min")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT {_KEY} AS execution_id, count(*) AS n, count(nullif(trim(first_failed_step), '')) AS n_steps FROM first_failed_steps WHERE {_KEY} IS NOT NULL GROUP BY 1")

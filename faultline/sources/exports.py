@@ -18,9 +18,9 @@ PREDICTION_SCHEMA = (
 )
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text with trimmed headers; no inference pass."""
-    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
+def _csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text with trimmed headers; no inference pass.  ``multi_line``: quoted values may hold line breaks, and a file is one task."""
+    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(path)
     return rows.toDF(*[c.strip() for c in rows.columns])
 
 
@@ -28,8 +28,9 @@ def read_executions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Executions of a CSV export: the known columns it has, renamed; ids as BIGINT, bad durations as NULL.
 
     Columns that are missing are tolerated, others are not read (column pruning reaches the scan).
+    Quoted values may hold line breaks.
     """
-    rows = _csv(spark, path)
+    rows = _csv(spark, path, multi_line=True)
     kept = rows.select(*[F.col(f"`{h}`").alias(c) for h, c in EXECUTION_COLUMNS.items() if h in rows.columns])
     casts = {"duration_min": "double", "program_id": "bigint", "pipeline_id": "bigint"}
     return kept.withColumns({c: F.col(c).try_cast(kind) for c, kind in casts.items() if c in kept.columns})

@@ -1,9 +1,11 @@
 import hashlib
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from faultline.operators import drain
+from faultline.plans import exports as plans
 from faultline.sources import exports, store
 from faultline.streaming import incremental as st
 
@@ -19,6 +21,19 @@ def test_csv_exports(spark, tmp_path, rows):
     assert rows(exports.read_share_names_csv(spark, str(tmp_path / "shares.csv"))) == [("7", "b"), ("9", "c")]
 
 
+def test_csv_executions_as_its_sql_on_odd_values(spark, tmp_path):
+    ids = ["1", "\t2", "3\r", "4\n5", "\u00a06\u3000", "7,8", 'a"b', "c\\", " ", None]
+    values = [("9", v) for v in (1.005, -0.125, 2.675, 0.285, 1e307, float("inf"), float("nan"), None)] + [(x, 1.0) for x in ids]
+    data = spark.createDataFrame([(n, *x) for n, x in enumerate(values)], "row_id bigint, execution_id string, duration_min double").selectExpr("*", "1L AS program_id", "2L AS pipeline_id", "'a' AS status")
+    data.coalesce(1).write.parquet(str(tmp_path / "pipelines_list.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pipelines_list AS SELECT * FROM read_parquet('{tmp_path}/pipelines_list.parquet/*.parquet')")
+    columns = ["execution_id", "program_id", "pipeline_id", "duration_min", "n"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({plans.SQL['csv_executions']})").fetchall()
+    got = [tuple(r) for r in plans.csv_executions(spark, str(tmp_path)).select(columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_json_sources(spark, tmp_path, rows):
     (tmp_path / "stream.json").write_text('{"result": {"a": "1"}}\nnot json\n{"preview": true}\n{"result": {"a": "2", "b": 3}}\n')
     assert rows(exports.read_result_stream(spark, str(tmp_path / "stream.json"), "a: string")) == [("1",), ("2",)]
