@@ -26,7 +26,7 @@ from faultline.functions.logtokens import COMPONENT_KEYS, LEVEL, LEVEL_KEYS, MAR
 SLOT, GAP = "<*>", "<**>"
 #: A line joins a template whose common subsequence covers this share of the constants of both.
 SHARE = 0.5
-#: A plain head ends at most so many symbols after its level, a head with a priority at most so many after its start.
+#: A plain head ends at most so many symbols after its level, a head with a priority at most so many after its start; a long bracket counts as one of two words.
 HEAD_SYMBOLS = 12
 #: More distinct layouts than programs that log can have: an error, never a cut.
 MOST_LAYOUTS = 20_000
@@ -160,8 +160,16 @@ _LEVEL_WORD = rf"(?<![\w./\-]){LEVEL}(?![\w/\-]|\.\w)!?"
 _LEVEL_KEY = rf'(?i:"(?:{"|".join(re.escape(k) for k in sorted(LEVEL_KEYS))})"\s*:|(?<!\S)(?:{"|".join(re.escape(k) for k in sorted(LEVEL_KEYS))})=)'
 _MARKED = rf"[{''.join(MARKS)}]{MARK_TIME}(?![\d:])"
 _NAMES_OF_DAYS = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-#: A plain head has at most so many words before its level, and ends at most so many characters after it.
-HEAD_WORDS, HEAD_CHARACTERS = 12, 200
+#: A plain head has at most so many words before its level; those of a long bracket count as two.
+HEAD_WORDS = 12
+#: Words, numbers and signs in Java's syntax, possessive, so that long texts need no stack.
+_WORDS = r"[\p{L}\p{M}\p{N}_$]++(?:[.\-/$@][\p{L}\p{M}\p{N}_$]++)*+"
+#: What makes at least one symbol: a time, a string, a word or number, a sign.
+_UNIT = rf'(?:[\s\p{{Z}}]*+(?:{TIME}|"(?:[^"\\]|\\.)*+"|{_WORDS}|[^\s\p{{Z}}]))'
+#: Enough of them for the symbols of a head: a key with its sign, or a level with its mark, is two units and may be one symbol.
+_HEAD_UNITS = rf"^{_UNIT}{{0,{2 * HEAD_SYMBOLS + 2}}}"
+#: A bracket of four or more words or signs and no time, such as the name of a thread.
+_LONG_BRACKET = rf"\[(?![^\[\]]*{TIME})(?>[\s\p{{Z}}]*+(?:{_WORDS}|[^\s\p{{Z}}\[\]])){{4}}[^\[\]]*\]"
 
 
 _OUTER = " \t\r\n\v\f\x1c\x1d\x1e\x1f\x85\u00a0\ufeff"
@@ -172,8 +180,10 @@ def head_shapes(lines: DataFrame, line: str) -> DataFrame:
 
     Colours and outer blanks are dropped and digits become 0.  Of keys and
     values, values become one letter unless they are a level, and a message is
-    left out.  Of other lines, the words after the level become one letter, and
-    what cannot belong to the head is left out.  Lines of one program then
+    left out.  Of other lines, the words after the level become one letter, a
+    long bracket becomes one of two words, and what follows the symbols that
+    ``essentials`` takes is left out: symbols are counted, never characters, so
+    names of hosts or threads may be of any length.  Lines of one program then
     share few shapes, whatever they say.  Costly columns stand in projections
     of their own, so each is computed once, and the last one is a generator, so
     that no filter copies them.
@@ -192,15 +202,19 @@ def head_shapes(lines: DataFrame, line: str) -> DataFrame:
     mask_but_times = lambda x: F.regexp_replace(x, rf"(?<![0\p{{L}}_$])(?!{_NAMES_OF_DAYS}\b)[\p{{L}}_$]+", "a")
     values = F.regexp_replace("_plain", rf'([:=]\s*)"(?!{LEVEL}"|{TIME}")(?:[^"\\]|\\.)*"', '$1"a"')
     values = F.regexp_replace(values, rf'([:=]\s*)(?!{LEVEL}(?![^\s,}}])|{TIME})(?:[^\s",}}\[{{0][^\s",}}]*)', "$1a")
-    after = F.substr("_plain", c("_at") + F.length("_level"), F.lit(HEAD_CHARACTERS))
-    words = F.size(F.regexp_extract_all("_before", F.lit(r"[^\W\d_][\w.\-]*"), F.lit(0)))
+    head = lambda x: F.regexp_extract(x, _HEAD_UNITS, 0)
+    rest = F.substr("_plain", c("_at") + F.length("_level"))
+    after = head(F.when(rest.rlike(rf"^[^\[\]]*{_LONG_BRACKET}"), F.regexp_replace(rest, rf"^([^\[\]]*){_LONG_BRACKET}", "$1[a a]")).otherwise(rest))
+    words = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"[^\W\d_][\w.\-]*"), F.lit(0)))
+    short = F.regexp_replace("_before", _LONG_BRACKET, "[a a]")
     shape = (
         F.when(c("_kind") == "keyed", values)
-        .when(c("_kind") == "priority", mask_but_times(F.substring("_plain", 1, HEAD_CHARACTERS)))
-        .when(c("_kind") == "mark", F.concat(F.substring("_plain", 1, 1), mask(F.substring("_plain", 2, HEAD_CHARACTERS))))
+        .when(c("_kind") == "priority", mask_but_times(head(c("_plain"))))
+        .when(c("_kind") == "mark", F.regexp_extract("_plain", "^" + _MARKED, 0))
         .when(c("_kind").isNull(), F.lit(None).cast("string"))
         .when(c("_before") == "", F.concat(c("_level"), mask_but_times(after)))
-        .when((F.length("_before") < 24) | (words <= HEAD_WORDS), F.concat(c("_before"), c("_level"), mask(after)))
+        .when((F.length("_before") < 24) | (words(c("_before")) <= HEAD_WORDS), F.concat(c("_before"), c("_level"), mask(after)))
+        .when(c("_before").contains("[") & (words(short) <= HEAD_WORDS), F.concat(short, c("_level"), mask(after)))
     )
     return df.select(F.explode(F.filter(F.array(shape), lambda x: x.isNotNull())).alias("shape"))
 
@@ -351,9 +365,15 @@ def _plain_layout(symbols: list[str]) -> str | None:
         component = 0  # program level message
     else:
         return None
-    out = []
+    out, inside = [], set()
+    if time is not None and time < level < last == component and at(last - 1) == "]":  # a bracket of several words between level and component holds any
+        opening = max((i for i in range(level + 1, last - 1) if symbols[i] == "["), default=last)
+        inside = set(range(opening, last)) if last - opening > 3 or GAP in symbols[opening:last] else set()
     for i, s in enumerate(symbols[: last + 1]):
-        if i == level:
+        if i in inside:
+            if i - 1 not in inside:
+                out.append(r"\[[^\[\]]*\]")
+        elif i == level:
             out.append(r"(?P<number>\d{1,3})" if priority else rf"(?P<level>{LEVEL})!?")
         elif i == time:
             out.append(f"(?P<time>{TIME})")

@@ -66,6 +66,22 @@ def test_layouts_with_bracketed_fields_slashed_dates_and_level_letters(spark):
     assert run(spark, logs) == sorted(want)
 
 
+LONG = " ".join(f"part{n}" for n in range(30))
+LONG_HEADS = [
+    ("<27>1 2025-12-31T23:59:59.173Z " + "node." * 50 + "net loader 66 - - cannot find it", "ERROR", "loader"),
+    ("2025-12-31 23:59:59.097  WARN 11 --- [" + "worker-" * 60 + "1] com.acme.core.Loader : cannot find it", "WARN", "com.acme.core.Loader"),
+    (f"2025-12-31 23:59:59.097  ERROR 11 --- [{LONG}] com.acme.core.Loader : cannot find it", "ERROR", "com.acme.core.Loader"),
+    (f"2025-12-31 23:59:59,123 [{LONG}] ERROR com.acme.core.Loader - cannot find it", "ERROR", "com.acme.core.Loader"),
+    (f"2025-12-31 23:59:59 [{LONG}] [{LONG}] WARN loader-a: cannot find it", "WARN", "loader-a"),
+]
+
+
+@pytest.mark.parametrize("n", range(len(LONG_HEADS)))
+def test_heads_of_any_length(spark, n):
+    text, level, component = LONG_HEADS[n]
+    assert run(spark, [("a", ["cut off", text, REST[0]], None, AT)]) == [("a", "key_lines", 1, 2, sec(2025, 12, 31, 23, 59, 59), level, component)]
+
+
 def test_level_key_behind_any_number_of_keys(spark):
     keys = ", ".join(f'"k{n}": {n}' for n in range(300))
     deep = '"list": [1, [2, "x]"], 3], "o": {"level": "no", "p": {"q": 1}}'
